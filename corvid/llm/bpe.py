@@ -29,6 +29,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from corvid.llm import textscan as ts
 
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
-    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("token_ids", "array<int>").add("round_trip", "boolean")
+    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("token_ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
