@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import bpe, langid, packing, pii, quality, simhash
+from corvid.llm import bpe, langid, packing, pii, quality, simhash, spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op8_simhash": op8_simhash,
+    "op10_spans": op10_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
