@@ -13,9 +13,8 @@ sentence run into the one before: a passage of three sentences leaves two whole.
 word bound keeps short boiler-plate lines, which meet by chance, out of it.
 
 One shuffle moves (hash, doc_id, place) of the runs, 24 bytes each; another joins the
-places to remove, gathered by document, with the texts.  That side is broadcast when
-it has at most ``BROADCAST_ROWS`` places, else both sides are shuffled and the small
-one is hashed.
+places to remove, gathered by document, with the texts: both sides are shuffled by
+doc_id at every size, and the places are the hashed side.
 
 Defined results: null texts stay null, empty ones empty.  Rows that share a doc_id and
 a text are one document and change alike; rows that share only the doc_id are told
@@ -38,7 +37,6 @@ from corvid.storage import cut
 
 SENTENCES = 2
 MIN_WORDS = 12
-BROADCAST_ROWS = 500_000
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 _STOP = np.zeros(256, bool)
@@ -140,16 +138,15 @@ def without(buf: np.ndarray, places: np.ndarray, k: int) -> tuple[bytes, int]:
     return buf[np.cumsum(keep)[:-1] == 0].tobytes(), int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, k: int = SENTENCES, min_words: int = MIN_WORDS, broadcast_rows: int = BROADCAST_ROWS, counted: str = "n_removed") -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = SENTENCES, min_words: int = MIN_WORDS, counted: str = "n_removed") -> DataFrame:
     """``docs`` without its repeated sentences, all columns, and in ``counted`` how many sentences went."""
     gone = cut(repeats(docs, k, min_words), "repeated-spans")
     by_doc = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("place").alias("__places"))
-    small = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
     n = len(docs.columns)
     at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     named = docs.toDF(*(f"c{i}" for i in range(n)))
     names = [*named.columns, "n"]
-    joined = named.join(F.broadcast(by_doc) if small else by_doc.hint("shuffle_hash"), F.col(f"c{at}").cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = named.join(by_doc.hint("shuffle_hash"), F.col(f"c{at}").cast("long") == F.col("__doc"), "left").drop("__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
