@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import bpe, langid, packing, pii, quality, simhash, spans
+from corvid.llm import bpe, langid, packing, pii, quality, sharding, simhash, spans, spotsigs, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,23 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urls.url_filter(pages, urls.reported_urls(pages))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,8 +60,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
+    "op6_urls": op6_urls,
+    "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
+    "op9_spotsigs": op9_spotsigs,
     "op10_spans": op10_spans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_urls": urls.ORACLE_SQL}
