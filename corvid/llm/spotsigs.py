@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.llm import textscan as ts
+from corvid.llm.bpe import spread
 from corvid.llm.components import components
 from corvid.storage import cut
 
@@ -157,24 +158,20 @@ def links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_numpy().astype(np.int64)
+            n, ids = batch.column("n").to_numpy().astype(np.int64), batch.column("doc_id").to_numpy()
             lists = batch.column("sigs")
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
             edges = bounds(int(n.max(initial=1)), threshold)
             part = np.searchsorted(edges, n, "right") - 1
             take = np.minimum(np.diff(at), n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1 - (n - np.diff(at)))
-            rows, key = [], []
-            for i in np.flatnonzero(take > 0):
-                prefix = flat[at[i] : at[i] + take[i]]
-                nexts = [part[i]]
-                if part[i] + 1 < len(edges) and n[i] >= threshold * edges[part[i] + 1] - 1e-9:
-                    nexts.append(part[i] + 1)
-                for p in nexts:
-                    key.append(ts.mix(prefix + np.uint64(int(p) * ts.BASE & (1 << 64) - 1)))
-                    rows.append(np.full(len(prefix), i))
-            if rows:
-                row = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(batch.column(c).take(row) for c in ("doc_id", "n", "sigs"))], ["list", "doc_id", "n", "sigs"])
+            use = np.flatnonzero(take > 0)
+            row = np.repeat(use, take[use])
+            sig = flat[spread(at[use].astype(np.int64), take[use], np.concatenate([[0], np.cumsum(take[use])]))]
+            for ahead in (0, 1):
+                # a visitor is long enough for the shortest set of the next partition
+                ok = np.ones(len(row), bool) if not ahead else n[row] >= threshold * edges[np.minimum(part[row] + 1, len(edges) - 1)] - 1e-9
+                key = ts.mix(sig[ok] + (part[row[ok]] + ahead).astype(np.uint64) * np.uint64(ts.BASE))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[ok]]), pa.array(np.full(len(key), not ahead))], ["list", "doc_id", "home"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,8 +205,13 @@ def links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if held:
             yield from done()
 
-    schema = sets.select(F.lit(0).cast("long").alias("list"), "doc_id", "n", "sigs").schema
-    return sets.mapInArrow(listed, schema).repartition("list").sortWithinPartitions("list").mapInArrow(compared, "a long, b long").where("a <> b").distinct()
+    places = sets.mapInArrow(listed, "list long, doc_id long, home boolean")
+    members = places.groupBy("list").agg(F.sort_array(F.collect_set("doc_id")).alias("members"), F.max("home").alias("home")).where("home and size(members) > 1")
+    # lists whose members hash alike would be compared as one, which finds the same links
+    lists = members.select(F.xxhash64("members").alias("list"), "members").groupBy("list").agg(F.first("members").alias("members"))
+    numbers = sets.select("doc_id", "n", F.transform("sigs", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("sigs"))
+    sent = lists.select("list", F.explode("members").alias("doc_id")).join(numbers, "doc_id").select("list", "doc_id", "n", "sigs")
+    return sent.repartition("list").sortWithinPartitions("list").mapInArrow(compared, "a long, b long").where("a <> b").distinct()
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, distance: int = DISTANCE, least: int = MIN_SIGNATURES) -> DataFrame:
