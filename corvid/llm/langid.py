@@ -16,7 +16,8 @@ bytes one space, so digits, signs and line ends carry no language.
 A document is rejected (``accepted`` false) if it has no letter, if fewer than
 ``MIN_KNOWN`` of its 3-grams are known, or if it has ``EVIDENCE`` distinct known
 n-grams or more and its best score is still under ``MIN_SCORE``: a shorter text
-can't score high and isn't rejected for that.
+can't score high and isn't rejected for that.  Nor is a text of which ``MIXED_KNOWN``
+of the 3-grams are known: its languages are known, though no one of them claims it.
 
 Defined results: null, empty and letterless texts get a null language and score
 and are rejected.  Ties between languages go to the first in alphabetical order.
@@ -44,6 +45,7 @@ RIDGE = 1e-2
 MIN_SCORE = 0.1
 MIN_KNOWN = 0.5
 EVIDENCE = 400
+MIXED_KNOWN = 0.9
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -213,7 +215,7 @@ def decide(model: Model | None, column: pa.Array, min_score: float, min_known: f
         for i in np.flatnonzero(letters):
             langs[lo + i] = model.languages[best[i]]
         scores[lo:hi] = np.where(letters, top, np.nan)
-        accepted[lo:hi] = letters & (known >= min_known) & ((top >= min_score) | (distinct < EVIDENCE))
+        accepted[lo:hi] = letters & (known >= min_known) & ((top >= min_score) | (distinct < EVIDENCE) | (known >= MIXED_KNOWN))
     return langs, scores, accepted
 
 
