@@ -167,4 +167,4 @@ def remove_repeats(docs: DataFrame, k: int = SENTENCES, min_words: int = MIN_WOR
                 columns[text_at] = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count)], names)
 
-    return joined.mapInArrow(run, named.schema.add("n", "long")).toDF(*docs.columns, counted)
+    return joined.mapInArrow(run, named.select("*").schema.add("n", "long")).toDF(*docs.columns, counted)

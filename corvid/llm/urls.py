@@ -122,7 +122,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, bits_per_key: int = BITS_PER
     if n * bits_per_key // 8 <= max_bytes:
         shared = pages.sparkSession.sparkContext.broadcast(build(entries, n, bits_per_key))
         hashed = seen.withColumn("hashes", F.transform(keys(F.col("canonical")), lambda k: F.xxhash64(k)))
-        probed = hashed.mapInArrow(_prober(shared), seen.schema.add("maybe", "boolean"))
+        probed = hashed.mapInArrow(_prober(shared), seen.select("*").schema.add("maybe", "boolean"))
     else:
         probed = seen.withColumn("maybe", F.col("canonical").isNotNull())
     hits = probed.where("maybe").drop("maybe")
