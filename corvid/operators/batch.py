@@ -11,6 +11,7 @@ from typing import Any, TypeVar
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 R = TypeVar("R")
 
@@ -221,7 +222,8 @@ def process(
                 except Exception as e:  # noqa: BLE001 - becomes a row
                     yield part.assign(result=None, ok=False, error=str(e), error_type=getattr(e, "kind", type(e).__name__))
 
-    schema = df.schema.add("result", "string").add("ok", "boolean").add("error", "string").add("error_type", "string")
+    # a schema's add changes the frame's own
+    schema = T.StructType(list(df.schema.fields)).add("result", "string").add("ok", "boolean").add("error", "string").add("error_type", "string")
     return df.mapInPandas(run, schema)
 
 

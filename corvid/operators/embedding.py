@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvid.functions import vector as V
 
@@ -70,4 +71,4 @@ def embed(texts: DataFrame, provider: Embed, dim: int, content: str = "content",
                 out = out / np.where(size > 0, size, 1.0)
             yield pdf.assign(embedding=list(out.astype(np.float32)))
 
-    return texts.mapInPandas(run, texts.schema.add("embedding", "array<float>"))
+    return texts.mapInPandas(run, T.StructType([*texts.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
