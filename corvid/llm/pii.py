@@ -221,7 +221,7 @@ def pseudonym(kind: str, value: str, key: bytes = KEY) -> str:
 
 
 def reveal_value(kind: str, value: str, key: bytes = KEY) -> str:
-    """The value behind a pseudonym."""
+    """The value behind a pseudonym; a date in d/m/y may come back with leading zeros."""
     return _KINDS[kind](value, key, True)
 
 
