@@ -16,7 +16,9 @@ the full distance is in a common list with probability ``RECALL`` at least; clos
 pairs nearly always are.
 
 The first filter is the shuffle key: lists are spread over the cluster, read in
-key order and compared in arrays.  A list leaves the links of its spanning stars,
+key order and compared in arrays.  Where the mean list would be longer than
+``LIST_ROWS``, as many further filters come before the shuffle as bring it below that,
+so a task's memory doesn't grow with the corpus.  A list leaves the links of its spanning stars,
 not its pairs, so thousands of copies leave thousands of rows.  Groups are the
 connected components; the document with the least doc_id of each group stays.
 
@@ -49,6 +51,8 @@ DISTANCE = 52
 RECALL = 0.95
 LEAF = 2048
 STRIP = 16
+#: Fingerprints that a list may have on the mean when it is sent to a task, about a gigabyte; more filters before the shuffle send each fingerprint more often.
+LIST_ROWS = 20_000_000
 #: Partial weight and mean lists a fingerprint of the first filter and of later ones.
 FIRST, LATER = (2, 1.0), (4, 4.0)
 WORDS = ("f0", "f1", "f2", "f3")
@@ -124,6 +128,14 @@ def repetitions(n: int, distance: int = DISTANCE, recall: float = RECALL) -> int
     return ceil(log(1 - recall) / log(1 - q))
 
 
+def depth(n: int, list_rows: int = LIST_ROWS) -> int:
+    """Filters after the first that come before the shuffle."""
+    size, out = n * _chance(FIRST[0], 0), 0
+    while size > list_rows and (out + 2) * STRIP < BITS:
+        size, out = size * _chance(LATER[0], 0), out + 1
+    return out
+
+
 def _strip(rep: int, level: int) -> np.ndarray:
     """Coordinates of a repetition's strip."""
     return np.random.RandomState(1_000 + rep).permutation(BITS)[level * STRIP : (level + 1) * STRIP]
@@ -249,9 +261,9 @@ def _words(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
 
 
-def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
+def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
     """``a, b`` links between near ones of n distinct fingerprints (``id, f0 .. f3``)."""
-    reps = repetitions(n, distance, recall)
+    reps, deeper = repetitions(n, distance, recall), depth(n, list_rows)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -259,8 +271,13 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float =
                 batch = whole.slice(lo, 4096)
                 words = _words(batch)
                 for rep in range(reps):
-                    row, centre = _filter(words, rep, 0)
-                    yield pa.RecordBatch.from_arrays([pa.array((rep << 32) + centre.astype(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", *WORDS))], ["list", "id", *WORDS])
+                    row, path = _filter(words, rep, 0)
+                    path = path.astype(np.uint64)
+                    for level in range(1, deeper + 1):
+                        sub, centre = _filter(words[row], rep, level)
+                        row, path = row[sub], ts.mix(path[sub] * np.uint64(ts.BASE) + centre.astype(np.uint64))
+                    # lists whose paths share 48 bits are compared as one
+                    yield pa.RecordBatch.from_arrays([pa.array((rep << 48) + (path & np.uint64((1 << 48) - 1)).astype(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", *WORDS))], ["list", "id", *WORDS])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -268,7 +285,7 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float =
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                got = compare(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), at >> 32, 1, distance)
+                got = compare(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), at >> 48, deeper + 1, distance)
                 got = [g for g in got if len(g)]
                 if got:
                     both = np.unique(np.concatenate(got), axis=0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -17,11 +18,12 @@ WORDS = {
 def prose(seed: int, sentences: int, lang: str = "en") -> str:
     """Sentences of random words; every seed gives other ones."""
     rng = np.random.RandomState(seed)
-    made = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.randint(4, 9))) for _ in range(sentences * 3)]
+    letters, common = "abcdefghilmnoprstu", WORDS[lang]
+    made = ["".join(letters[k] for k in rng.randint(0, len(letters), rng.randint(4, 9))) for _ in range(sentences * 3)]
     out = []
     for i in range(sentences):
         n = rng.randint(7, 13)
-        words = [str(rng.choice(WORDS[lang])) if rng.rand() < 0.55 else str(rng.choice(made)) for _ in range(n)]
+        words = [common[rng.randint(len(common))] if rng.rand() < 0.55 else made[rng.randint(len(made))] for _ in range(n)]
         out.append(" ".join(words).capitalize() + ".")
         out.append("\n" if rng.rand() < 0.2 else " ")
     return "".join(out).strip()
@@ -32,6 +34,7 @@ def edited(text: str, seed: int, share: float = 0.03) -> str:
     return " ".join("changed" + str(rng.randint(99)) if rng.rand() < share else w for w in text.split(" "))
 
 
+@lru_cache(maxsize=1)
 def hard_rows() -> list[tuple[Any, ...]]:
     same = prose(1, 12)
     return [
