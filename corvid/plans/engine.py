@@ -38,14 +38,18 @@ class Engine:
         """Chunks of ``id, content[, metadata]``; a null id is made from the content."""
         i = self.settings.indexing
         content = clean(F.col("content"), i.cleaning) if (i.preprocess if preprocess is None else preprocess) else F.col("content")
-        kept = [c for c in ("metadata",) if c in docs.columns]
-        named = docs.select(F.coalesce(F.col("id").cast("string"), content_id(F.col("content"))).alias("id"), content.alias("content"), *kept)
+        meta = F.col("metadata") if "metadata" in docs.columns else F.lit(None).cast("map<string,string>")
+        named = docs.select(F.coalesce(F.col("id").cast("string"), content_id(F.col("content"))).alias("id"), content.alias("content"), meta.alias("metadata"))
         return chunking.chunk(named, i.strategy, i.chunking)
 
     def index(self, docs: DataFrame, preprocess: bool | None = None) -> DataFrame:
-        """Adds documents to the store, in place of chunks with the same id; returns ``id, n_chunks, ok`` of each."""
+        """Adds documents to the store, in place of all chunks of those with the same id; returns ``id, n_chunks, ok`` of each."""
         new = self._embed(self.chunks(docs, preprocess))
-        self.store = new if self.store is None else retrieval.upsert(self.store, new.withColumn("seq", F.lit(0)))
+        if self.store is None:
+            self.store = new
+        else:
+            old = retrieval.delete(self.store, new.select("parent_id"), "parent_id")
+            self.store = retrieval.upsert(old, new.withColumn("seq", F.lit(0)))
         counts = new.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"))
         ids = docs.select(F.coalesce(F.col("id").cast("string"), content_id(F.col("content"))).alias("id")).distinct()
         return ids.join(counts, "id", "left").select("id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("n_chunks").isNotNull().alias("ok"))
