@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_spans": op10_spans,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_urls": urls.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_urls": urls.ORACLE_SQL, "op10_spans": spans.ORACLE_SQL}

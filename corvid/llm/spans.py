@@ -168,3 +168,17 @@ def remove_repeats(docs: DataFrame, k: int = SENTENCES, min_words: int = MIN_WOR
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count)], names)
 
     return joined.mapInArrow(run, named.select("*").schema.add("n", "long")).toDF(*docs.columns, counted)
+
+
+#: The same with the runs' texts in place of their hashes, for a table whose doc_ids are unique and not null.
+ORACLE_SQL = f"""
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\n', chr(10) || chr(1), 'g'), '([.!?]) ', '\\1 ' || chr(1), 'g'), chr(1)) AS p FROM documents),
+piece AS (SELECT doc_id, i, p[i] AS piece, regexp_replace(p[i], '^\\s+|\\s+$', '', 'g') AS s FROM cut, unnest(range(1, len(p) + 1)) AS t(i)),
+sentence AS (SELECT *, len(regexp_split_to_array(s, '\\s+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM piece WHERE s <> ''),
+run AS (SELECT doc_id, place, string_agg(s, chr(2)) OVER w AS r, sum(n) OVER w AS words, count(*) OVER w AS k FROM sentence WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {SENTENCES - 1} FOLLOWING)),
+repeated AS (SELECT doc_id, place FROM run WHERE k = {SENTENCES} AND words >= {MIN_WORDS} QUALIFY row_number() OVER (PARTITION BY r ORDER BY doc_id, place) > 1),
+gone AS (SELECT DISTINCT doc_id, place + j AS place FROM repeated, unnest(range(0, {SENTENCES})) AS t(j)),
+marked AS (SELECT p.doc_id, p.i, p.piece, g.place IS NOT NULL AS lost FROM piece p LEFT JOIN sentence s ON s.doc_id = p.doc_id AND s.i = p.i LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.place = s.place),
+done AS (SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT lost), '') AS text, count(*) FILTER (WHERE lost) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, coalesce(x.n_removed, 0) AS n_removed FROM documents d LEFT JOIN done x ON x.doc_id = d.doc_id
+"""

@@ -273,3 +273,14 @@ def test_spans_stand_hard_rows(hard, clashing, none):
         assert {r["doc_id"] for r in out.where("how_many > 0").select("doc_id").collect()} <= {2, 3}
         assert out.where("doc_id = 2").select(F.max("text")).first()[0].strip() == ""
     assert spans.remove_repeats(none).count() == 0
+
+
+def test_spans_are_those_of_the_sql():
+    from oracle import connect, rows
+    from pyspark.sql import SparkSession
+
+    from corvid.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    got = queries.op10_spans(SparkSession.getActiveSession(), d).toPandas()
+    assert rows(got) == rows(connect(d).sql(queries.ORACLE_SQL["op10_spans"]).df())
