@@ -97,7 +97,7 @@ def test_sql_functions(spark):
     assert tuple(got) == (11.0, 0.0, 2.0, "a b", "x", ["abc", "cde", "e"])
 
 
-TEXTS = [("doc1", "Kotlin is a language for the virtual machine."), ("doc2", "Java is a language, too, and an island."), ("doc3", "Neural networks learn from examples.")]
+TEXTS = [("doc1", "Scala is a language for the virtual machine."), ("doc2", "Java is a language, too, and an island."), ("doc3", "Neural networks learn from examples.")]
 
 
 @pytest.fixture
@@ -121,7 +121,7 @@ def test_engine_answers(spark, engine):
 
 
 def test_engine_updates_and_deletes(spark, engine, tmp_path):
-    engine.index_text([("doc1", "Kotlin is an island near a harbour.")])
+    engine.index_text([("doc1", "Scala is an island near a harbour.")])
     assert engine.store.count() == 3
     engine.delete(spark.createDataFrame([("doc1",)], "id string"))
     assert engine.store.count() == 2
