@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from corvid.functions import vector as V
 
-HEADER = r"(?m)^(#{1,6}\s|<h[1-6]>).*?$"
-SECTION = r"(?m)^(#{1,6}\s.+$|[A-Z][A-Za-z\s]+\n[-=]+$)"
+HEADER = r"(?m)^(?:<h[1-6]>|#{1,6}\s).*$"
+SECTION = r"(?m)^(?:[A-Z][A-Za-z\s]+\n[=-]+$|#{1,6}\s.+$)"
 SENTENCE_END = r"(?<=[.!?])\s+"
 _MARK = "\u0001"
 

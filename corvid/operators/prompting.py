@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METADATA_TEMPLATE = "Source: {source}\nDate: {date}"
-PROMPT = "Use this context.\n\n{context}\n\nQuestion: {question}\nAnswer:"
+PROMPT = "Use this context.\n\n{context}\n\nAsked: {question}\nAnswer:"
 TEMPLATES = {
     "qa": "Context:\n\n{context}\n\nAnswer from the context alone: {question}\n\nIf it isn't there, say that you don't know.",
     "summarize": "Summarize these documents:\n\n{context}\n\nFocus: {question}",
     "concise": "Context:\n{context}\n\nAnswer in one sentence: {question}",
-    "detailed": "Documents:\n{context}\n\nQuestion: {question}\n\nAnswer in detail, and cite the documents by number.",
+    "detailed": "Documents:\n{context}\n\nAsked: {question}\n\nAnswer in detail, and cite the documents by number.",
     "chat": "Context:\n{context}\n\n{history}\n\nuser: {question}\nassistant:",
 }
 

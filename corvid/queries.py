@@ -261,14 +261,14 @@ def _windows_sql(t: str, size: int, step: int) -> str:
     return f"list_transform(range(0, length({t}), {step}), lambda i: substr({t}, (i + 1)::INT, {size}))"
 
 
-_SECTIONS_SQL = _units_sql("regexp_replace(content, '(?m)^(#{1,6}\\s.+$|[A-Z][A-Za-z\\s]+\\n[-=]+$)', chr(1) || '\\0', 'g')")
+_SECTIONS_SQL = _units_sql(f"regexp_replace(content, '{chunking.SECTION}', chr(1) || '\\0', 'g')")
 _query("chunk_fixed", _chunk_sql(_DOCS, _windows_sql("content", 500, 450)))(_chunked("fixed", _plain))
 _query("chunk_sliding", _chunk_sql(_DOCS, _windows_sql("content", 500, 250)))(_chunked("sliding", _plain))
 _query("chunk_fallback", _chunk_sql(_DOCS, _windows_sql("content", 500, 500)))(_chunked("fallback", _plain))
 _query("chunk_sentence", _chunk_sql(_DOCS, _merge_sql(_units_sql("regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g')"))))(_chunked("sentence", _plain))
 _query("chunk_paragraph", _chunk_sql(_MD, _merge_sql(_units_sql("regexp_replace(content, '\\n\\s*\\n', chr(1), 'g')"))))(_chunked("paragraph", _markdown))
 _query("chunk_semantic_basic", ORACLE_SQL["chunk_paragraph"])(_chunked("semantic_basic", _markdown))
-_query("chunk_section", _chunk_sql(_MD, _merge_sql(_units_sql("regexp_replace(content, '(?m)^(#{1,6}\\s|<h[1-6]>).*?$', chr(1), 'g')"))))(_chunked("section", _markdown))
+_query("chunk_section", _chunk_sql(_MD, _merge_sql(_units_sql(f"regexp_replace(content, '{chunking.HEADER}', chr(1), 'g')"))))(_chunked("section", _markdown))
 _nested_step = "CASE WHEN s[len(s)] <> '' AND length(s[len(s)]) + length(u[1]) > 500 THEN list_concat(s, [substr(u[1], 1, 50) || CASE WHEN u[1] <> '' THEN chr(10) || chr(10) ELSE '' END || u[1]]) ELSE list_concat(s[:len(s) - 1], [s[len(s)] || CASE WHEN s[len(s)] <> '' THEN chr(10) || chr(10) ELSE '' END || u[1]]) END"
 _query("chunk_hierarchical_basic", _chunk_sql(_MD, f"flatten(list_transform(list_filter(string_split(regexp_replace(content, '(?m)^#+\\s+', chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: list_filter(list_reduce(list_prepend([''], list_transform(string_split(x, chr(10) || chr(10)), lambda p: [p])), lambda s, u: {_nested_step}), lambda y: y <> '')))"))(_chunked("hierarchical_basic", _markdown))
 _query("chunk_hybrid", _chunk_sql(_MD, f"flatten(list_transform({_SECTIONS_SQL}, lambda x: CASE WHEN length(x) <= 500 THEN [x] ELSE {_windows_sql('x', 500, 250)} END))"))(_chunked("hybrid", _markdown))
@@ -297,7 +297,7 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- extraction ---
 _HTML = "html"
-for _p in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->", "<[^>]*>"):
+for _p in (*extract.DROPPED, "<[^>]*>"):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '', 'g')"
 _HTML = f"replace(replace(replace(replace({_HTML}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
@@ -419,7 +419,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HITS = f"(SELECT r.query_id, r.rank, r.id, r.score, d.text AS content, d.source, d.lang FROM ({_topk_sql(_COS, k=3).replace("round(score, 6) AS score", "score")}) r JOIN documents d ON d.doc_id = r.id)"
 _CONTEXT = f"SELECT query_id, string_agg('Source: ' || source || chr(10) || 'Date:' || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_docs FROM {_HITS} GROUP BY query_id"
 _QUESTION = "'Which label has ' || query_id || '?'"
-_PROMPT_SQL = f"SELECT query_id, context, n_docs, 'Use this context.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || {_QUESTION} || chr(10) || 'Answer:' AS prompt FROM ({_CONTEXT})"
+_PROMPT_SQL = f"SELECT query_id, context, n_docs, 'Use this context.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Asked: ' || {_QUESTION} || chr(10) || 'Answer:' AS prompt FROM ({_CONTEXT})"
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

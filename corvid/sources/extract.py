@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
+_FRONT = r"(?s)\A-{3}\s*\n(.*?)\n-{3}\s*\n"
+#: Elements that go with what they hold, and comments.
+DROPPED = (*(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style")), r"(?s)<!--.*?-->")
 _META = r"""(?i)<meta\s+(?:name|property)=["']([^"']+)["']\s+content=["']([^"']*)["']"""
 
 
@@ -45,7 +47,7 @@ def html_text(html: Column, block_spacing: bool = False) -> Column:
     ``block_spacing`` puts a space in place of each tag.
     """
     out = html
-    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->"):
+    for pattern in DROPPED:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, "<[^>]*>", " " if block_spacing else "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
@@ -54,7 +56,7 @@ def html_text(html: Column, block_spacing: bool = False) -> Column:
 
 
 def html_title(html: Column) -> Column:
-    return F.regexp_extract(html, "(?i)<title>([^<]+)</title>", 1)
+    return F.regexp_extract(html, r"(?i)<title>([^<]+)</title\s*>", 1)
 
 
 def html_metadata(html: Column) -> Column:
