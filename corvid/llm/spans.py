@@ -1,12 +1,14 @@
 """Substring deduplication by sliding spans of sentences.
 
-A sentence ends after a line end, or after one of ``. ! ?`` and a space; sentences
-are compared without the white space around them and blank ones don't count.  Every
-run of ``SENTENCES`` consecutive sentences with at least ``MIN_WORDS`` words in all
-is hashed to 64 bits.  All runs of the corpus meet on their hash; in the order of
-(doc_id, text hash, place) every occurrence but the first is a repeat, within a
-document as well as between documents.  A sentence is removed if any repeated run
-covers it, with the white space after it; the rest of the text stays as it is.
+A sentence ends after a line end, or after one of ``. ! ?`` with any ASCII punctuation
+behind it and a space; sentences are compared without the white space around them and
+blank ones don't count.  From every sentence a run goes on for ``SENTENCES`` sentences at
+least and until it has ``MIN_WORDS`` words, so short sentences make longer runs; one of
+``LONG_WORDS`` words is a run by itself.  A run is hashed to 64 bits, and all runs of the
+corpus meet on their hash; in the order of (doc_id, text hash, place) every occurrence
+but the first is a repeat, within a document as well as between documents.  A sentence is
+removed if any repeated run covers it, with the white space after it; the rest of the
+text stays as it is.
 
 Two sentences make a run because a passage set in the middle of a text has its first
 sentence run into the one before: a passage of three sentences leaves two whole.  The
@@ -37,10 +39,13 @@ from corvid.storage import cut
 
 SENTENCES = 2
 MIN_WORDS = 12
+LONG_WORDS = 40
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PLACE = 32
 
 
@@ -51,14 +56,12 @@ def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     edge[offsets] = True
     edge[1:] |= buf == 10
     if n > 1:
-        edge[2:] |= (buf[1:] == 32) & _STOP[buf[:-1]]
-        # a stop and a space in different documents don't go together
-        inner = offsets[1:-1]
-        inner = inner[(inner > 0) & (inner < n)]
-        apart = inner[(buf[inner] == 32) & _STOP[buf[inner - 1]]] + 1
-        apart = apart[buf[apart - 1] != 10]
-        apart = apart[~np.isin(apart, offsets)]
-        edge[apart] = False
+        place = np.arange(n)
+        stop = np.maximum.accumulate(np.where(_STOP[buf], place, -1))
+        plain = np.maximum.accumulate(np.where(_PUNCT[buf], -1, place))
+        space = np.flatnonzero((buf[1:] == 32) & (stop[:-1] > plain[:-1])) + 1
+        # the stop must be in the space's own document
+        edge[space[stop[space - 1] >= offsets[np.searchsorted(offsets, space, "right") - 1]] + 1] = True
     at = np.flatnonzero(edge)
     start, end = at[:-1], at[1:]
     solid = ~_BLANK[buf]
@@ -76,22 +79,28 @@ def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, trimmed, last, count, np.searchsorted(start, offsets)
 
 
+def run_ends(words: np.ndarray, ends: np.ndarray, k: int, min_words: int) -> np.ndarray:
+    """The sentence after the last of the run that begins at each; 0 if the document ends before. ends: the sentence after each one's document."""
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words)])
+    enough = np.searchsorted(total, total[:-1] + min_words, "left")
+    end = np.maximum(np.arange(n) + k, enough)
+    # a long sentence may come before there are k
+    end = np.minimum(end, np.maximum(enough, np.searchsorted(total, total[:-1] + max(LONG_WORDS, min_words), "left")))
+    return np.where(end <= ends, end, 0)
+
+
 def span_keys(buf: np.ndarray, offsets: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and first sentence of every run."""
     _, _, trimmed, last, count, first = sentences(buf, offsets)
     h = ts.mix(ts.span_hashes(buf, trimmed, last) + (last - trimmed).astype(np.uint64))
-    m = len(h) - k + 1
-    if m < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    run, words = np.zeros(m, np.uint64), np.zeros(m, np.int64)
-    for j in range(k):
-        run = run * np.uint64(ts.BASE) + h[j : j + m]
-        words += count[j : j + m]
     n = np.diff(first)
+    end = run_ends(count, np.repeat(first[1:], n), k, min_words)
     doc = np.repeat(np.arange(len(n)), n)
     index = np.arange(len(h)) - np.repeat(first[:-1], n)
-    ok = (doc[:m] == doc[k - 1 :]) & (words >= min_words)
-    return ts.mix(run[ok]).view(np.int64), doc[:m][ok], index[:m][ok]
+    at = np.flatnonzero(end)
+    run = ts.span_hashes(h, at, end[at]) + (end[at] - at).astype(np.uint64)
+    return ts.mix(run).view(np.int64), doc[at], index[at]
 
 
 def text_marks(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -122,15 +131,15 @@ def repeats(docs: DataFrame, k: int = SENTENCES, min_words: int = MIN_WORDS) ->
     return found.withColumn("nth", order).where("nth > 1").select("doc_id", "place")
 
 
-def without(buf: np.ndarray, places: np.ndarray, k: int) -> tuple[bytes, int]:
+def without(buf: np.ndarray, places: np.ndarray, k: int, min_words: int) -> tuple[bytes, int]:
     """One text without the sentences that the runs at the places cover, and how many those are."""
     offsets = np.array([0, len(buf)])
-    start, end, *_ = sentences(buf, offsets)
+    start, end, _, _, count, _ = sentences(buf, offsets)
     mark = text_marks(buf, offsets)[0]
     places = places[places >> _PLACE == mark] & ((1 << _PLACE) - 1)
     gone = np.zeros(len(start) + 1, np.int64)
     np.add.at(gone, places, 1)
-    np.add.at(gone, np.minimum(places + k, len(start)), -1)
+    np.add.at(gone, run_ends(count, np.full(len(count), len(count)), k, min_words)[places], -1)
     gone = np.cumsum(gone)[:-1] > 0
     keep = np.zeros(len(buf) + 1, np.int64)
     np.add.at(keep, start[gone], 1)
@@ -156,7 +165,7 @@ def remove_repeats(docs: DataFrame, k: int = SENTENCES, min_words: int = MIN_WOR
             raw, offsets = ts.text_buffers(text)
             rows, new = [], []
             for i in np.flatnonzero(pc.and_(lists.is_valid(), text.is_valid()).to_numpy(zero_copy_only=False)):
-                left, lost = without(raw[offsets[i] : offsets[i + 1]], lists[int(i)].values.to_numpy(), k)
+                left, lost = without(raw[offsets[i] : offsets[i + 1]], lists[int(i)].values.to_numpy(), k, min_words)
                 if lost:
                     count[i] = lost
                     rows.append(i)
@@ -172,12 +181,13 @@ def remove_repeats(docs: DataFrame, k: int = SENTENCES, min_words: int = MIN_WOR
 
 #: The same with the runs' texts in place of their hashes, for a table whose doc_ids are unique and not null.
 ORACLE_SQL = f"""
-WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\n', chr(10) || chr(1), 'g'), '([.!?]) ', '\\1 ' || chr(1), 'g'), chr(1)) AS p FROM documents),
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\n', chr(10) || chr(1), 'g'), '([.!?][!-/:-@[-`{{-~]*) ', '\\1 ' || chr(1), 'g'), chr(1)) AS p FROM documents),
 piece AS (SELECT doc_id, i, p[i] AS piece, regexp_replace(p[i], '^\\s+|\\s+$', '', 'g') AS s FROM cut, unnest(range(1, len(p) + 1)) AS t(i)),
 sentence AS (SELECT *, len(regexp_split_to_array(s, '\\s+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM piece WHERE s <> ''),
-run AS (SELECT doc_id, place, string_agg(s, chr(2)) OVER w AS r, sum(n) OVER w AS words, count(*) OVER w AS k FROM sentence WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {SENTENCES - 1} FOLLOWING)),
-repeated AS (SELECT doc_id, place FROM run WHERE k = {SENTENCES} AND words >= {MIN_WORDS} QUALIFY row_number() OVER (PARTITION BY r ORDER BY doc_id, place) > 1),
-gone AS (SELECT DISTINCT doc_id, place + j AS place FROM repeated, unnest(range(0, {SENTENCES})) AS t(j)),
+listed AS (SELECT doc_id, list(s ORDER BY place) AS s, list_prepend(0, list(total ORDER BY place)) AS total FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY place)::BIGINT AS total FROM sentence) GROUP BY doc_id),
+ended AS (SELECT *, list_filter(range(place, least(place + {MIN_WORDS}, len(s)) + 1), lambda e: total[e + 1] - total[place] >= {MIN_WORDS} AND (e - place + 1 >= {SENTENCES} OR total[e + 1] - total[place] >= {LONG_WORDS}))[1] AS e FROM listed, unnest(range(1, len(s) + 1)) AS t(place)),
+repeated AS (SELECT doc_id, place, e FROM ended WHERE e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY array_to_string(s[place:e], chr(2)) ORDER BY doc_id, place) > 1),
+gone AS (SELECT DISTINCT doc_id, j AS place FROM repeated, unnest(range(place, e + 1)) AS t(j)),
 marked AS (SELECT p.doc_id, p.i, p.piece, g.place IS NOT NULL AS lost FROM piece p LEFT JOIN sentence s ON s.doc_id = p.doc_id AND s.i = p.i LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.place = s.place),
 done AS (SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT lost), '') AS text, count(*) FILTER (WHERE lost) AS n_removed FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, coalesce(x.n_removed, 0) AS n_removed FROM documents d LEFT JOIN done x ON x.doc_id = d.doc_id

@@ -202,7 +202,8 @@ def plain_removal(rows, k, least):
 
     def cut(text):
         # pieces with the white space after them, blank ones joined to no sentence
-        return [p for p in re.split(r"(?<=\n)|(?<=[.!?] )", text) if p.strip()]
+        marked = re.sub(r"([.!?][!-/:-@\[-`{-~]*) ", "\\1 \0", text.replace("\n", "\n\0"))
+        return [p for p in marked.split("\0") if p.strip()]
 
     occurrences = defaultdict(set)
     order = sorted({(i, t) for i, t in rows if i is not None and t is not None}, key=lambda r: (r[0], int(spans.text_marks(*ts.text_buffers(pa.array([r[1]])))[0])))
@@ -210,16 +211,19 @@ def plain_removal(rows, k, least):
     for i, t in order:
         s = cut(t)
         places[i, t] = s
-        for p in range(len(s) - k + 1):
-            run = tuple(x.strip() for x in s[p : p + k])
-            if sum(len(x.split()) for x in run) >= least:
-                occurrences[run].add((i, t, p))
+        for p in range(len(s)):
+            for e in range(p + 1, len(s) + 1):
+                run = tuple(x.strip() for x in s[p:e])
+                words = sum(len(x.split()) for x in run)
+                if words >= least and (e - p >= k or words >= spans.LONG_WORDS):
+                    occurrences[run].add((i, t, p))
+                    break
     gone = defaultdict(set)
     rank = {r: n for n, r in enumerate(order)}
-    for found in occurrences.values():
+    for run, found in occurrences.items():
         first = min(found, key=lambda f: (rank[f[0], f[1]], f[2]))
         for i, t, p in found - {first}:
-            gone[i, t] |= set(range(p, p + k))
+            gone[i, t] |= set(range(p, p + len(run)))
     out = []
     for i, t in rows:
         if (i, t) not in places or not gone[i, t]:
@@ -247,7 +251,7 @@ def test_spans_are_brute_force(spark, k, least):
         for j in rng.permutation(6)[: i % 3]:
             parts.insert(rng.randint(len(parts) + 1), shared[j])
         rows.append((i, (" " if i % 2 else "\n").join(parts)))
-    rows += [(60, rows[5][1]), (60, rows[6][1]), (61, rows[7][1]), (61, rows[7][1]), (62, shared[0] + "\n\n \n" + shared[0]), (None, shared[0]), (63, None), (64, "")]
+    rows += [(60, rows[5][1]), (60, rows[6][1]), (61, rows[7][1]), (61, rows[7][1]), (62, shared[0] + "\n\n \n" + shared[0]), *((70 + i, "A!! B!! C.*** " * 9 + data.prose(40 + i, 2) + "\n" + " ".join(shared[1].replace(".", ",").split()) + '." \n. ?! x') for i in range(3)), (None, shared[0]), (63, None), (64, "")]
     got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, least).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_removal(rows, k, least)))
 
