@@ -3,9 +3,9 @@
 A signature begins at an anchor, a common word of one of four languages, and is the
 anchor with the chain of the next ``CHAIN`` content words (words that aren't anchors),
 ``DISTANCE`` apart.  A document is the set of its signatures; two documents are near
-copies if the Jaccard similarity of their sets is ``THRESHOLD`` at least.  A text with
-fewer than ``MIN_SIGNATURES`` is the one signature of all its words instead, so it
-equals those with the same words only.
+copies if the Jaccard similarity of their sets is ``THRESHOLD`` at least.  A text
+without a signature is the set of its chains of ``CHAIN`` + 1 successive words instead
+(a shorter text is one chain), so it too is compared by what it shares.
 
 The join is exact.  Signatures meet on their hash, which gives each one's number of
 documents; one that no other document has can't be in an intersection and goes no
@@ -43,7 +43,8 @@ from corvid.storage import cut
 CHAIN = 2
 DISTANCE = 1
 THRESHOLD = 0.55
-MIN_SIGNATURES = 10
+#: A text with fewer, which is one with none, has word chains in their place.
+MIN_SIGNATURES = 1
 #: Common words of English, German, French and Spanish; every other word is a content word.
 ANCHORS = (
     "the a of and to in is was that "
@@ -59,7 +60,7 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.sort(ts.tokens(*ts.text_buffers(column))[0])
 
 
-def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE, least: int = MIN_SIGNATURES) -> tuple[np.ndarray, np.ndarray]:
+def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """The documents' distinct signatures, and where each document's begin."""
     h, first = ts.tokens(buf, offsets)
     docs = len(first) - 1
@@ -76,31 +77,33 @@ def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, distanc
     for j in range(chain):
         sig = ts.mix(sig + content[start + j * distance]) if len(sig) else sig
     owner = doc[at]
+    count = np.bincount(owner, minlength=docs)
+    # words of the texts that have word chains instead
+    bare = np.flatnonzero(count[doc] < MIN_SIGNATURES)
+    if len(bare):
+        n = np.minimum(np.diff(first), chain + 1)[doc[bare]]
+        left = first[1:][doc[bare]] - bare
+        bare, n = bare[left >= n], n[left >= n]
+        chains = h[bare] * np.uint64(_TAIL)
+        for j in range(1, chain + 1):
+            chains = np.where(j < n, ts.mix(chains + h[np.minimum(bare + j, len(h) - 1)]), chains)
+        sig, owner = np.concatenate([sig, ts.mix(chains)]), np.concatenate([owner, doc[bare]])
     order = np.lexsort((sig, owner))
     sig, owner = sig[order], owner[order]
     if len(sig):
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])])
         sig, owner = sig[new], owner[new]
-    count = np.bincount(owner, minlength=docs)
-    short = np.flatnonzero((count < least) & (np.diff(first) > 0))
-    if len(short):
-        keep = count[owner] >= least
-        place = np.arange(len(h), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
-        whole = ts.mix(ts.sums(ts.mix(h * np.uint64(_TAIL) + place), first)[short])
-        sig, owner = np.concatenate([sig[keep], whole]), np.concatenate([owner[keep], short])
-        order = np.argsort(owner, kind="stable")
-        sig, owner = sig[order], owner[order]
     return sig, np.searchsorted(owner, np.arange(docs + 1))
 
 
-def postings(docs: DataFrame, chain: int = CHAIN, distance: int = DISTANCE, least: int = MIN_SIGNATURES) -> DataFrame:
+def postings(docs: DataFrame, chain: int = CHAIN, distance: int = DISTANCE) -> DataFrame:
     """``sig, doc_id, own`` of every signature; own is the set's length, and below it 16 bits that tell rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for lo, hi, buf, offsets in ts.slices(batch.column("text")):
-                sig, first = signatures(buf, offsets, chain, distance, least)
+                sig, first = signatures(buf, offsets, chain, distance)
                 n = np.diff(first)
                 owner = np.repeat(np.arange(hi - lo), n)
                 own = (n << 16) | (ts.sums(ts.mix(sig), first) >> np.uint64(48)).astype(np.int64)
@@ -109,9 +112,9 @@ def postings(docs: DataFrame, chain: int = CHAIN, distance: int = DISTANCE, leas
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "sig long, doc_id long, own long")
 
 
-def shared_sets(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, distance: int = DISTANCE, least: int = MIN_SIGNATURES) -> DataFrame:
+def shared_sets(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, n, sigs``: the signatures that others have too, rarest first, of the documents that have enough of them."""
-    counted = postings(docs, chain, distance, least).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("df > 1")
+    counted = postings(docs, chain, distance).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("df > 1")
     sets = counted.groupBy("doc_id", "own").agg(F.collect_set(F.struct("df", "sig")).alias("s")).withColumn("n", F.shiftright("own", 16).cast("int"))
     return sets.where(F.size("s") >= F.ceil(F.col("n") * threshold - 1e-9)).select("doc_id", "n", F.transform(F.sort_array("s"), lambda x: x["sig"]).alias("sigs"))
 
@@ -214,9 +217,9 @@ def links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sent.repartition("list").sortWithinPartitions("list").mapInArrow(compared, "a long, b long").where("a <> b").distinct()
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, distance: int = DISTANCE, least: int = MIN_SIGNATURES) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, group_id, keep`` of every document."""
-    sets = cut(shared_sets(docs, threshold, chain, distance, least), "spot-sets").withColumn("same", F.xxhash64("n", "sigs"))
+    sets = cut(shared_sets(docs, threshold, chain, distance), "spot-sets").withColumn("same", F.xxhash64("n", "sigs"))
     first = sets.groupBy("same", "n").agg(F.min("doc_id").alias("first"))
     equal = sets.select("doc_id", "same", "n").join(first, ["same", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     one = sets.join(first, ["same", "n"]).where("doc_id = first").dropDuplicates(["same", "n"]).select("doc_id", "n", "sigs")

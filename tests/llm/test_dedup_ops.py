@@ -185,6 +185,17 @@ def test_spotsigs_groups_are_brute_force(spark, threshold):
     assert len(set(want.values())) < len(rows) - 20
 
 
+def test_texts_with_few_signatures_are_compared_by_their_sets(spark):
+    """Pairs with 3 signatures, with 9 against 10 and with none meet as near copies do; what shares little doesn't."""
+    few = "pebble lantern the copper kettle drifts of amber willow hums a marble sparrow glides"
+    some = " ".join(f"the first{i} second{i}" for i in range(9))
+    bare = [f"entry{i}" for i in range(40)]
+    rows = [(1, few), (2, few.replace("pebble", "gravel")), (3, some), (4, some + " the first9 second9"), (5, " ".join(bare)), (6, " ".join(bare[:20] + ["changed"] + bare[21:]))]
+    rows += [(7, "the first0 second0 of plain words"), (8, " ".join(bare[:9] + [f"other{i}" for i in range(30)]))]
+    got = {r["doc_id"]: r["group_id"] for r in spotsigs.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 8}
+
+
 def test_length_partitions_meet_where_they_must():
     for t in (0.3, 0.55, 0.9):
         edges = spotsigs.bounds(500, t)
