@@ -20,6 +20,11 @@ secret       32 to 64 hex digits, both sorts      all digits, base 16
 The network works on Z_a x Z_b with a*b just above the size of the format and walks
 along its cycle back into the format, so it is a permutation of it and
 ``reveal_value`` inverts it.  Values that fail validation stay as they are.
+
+A run of digit groups may hold a value beside other numbers (a card and its expiry
+date), so a longest match that fails is searched inside: first for cards in the usual
+groups, then for a shorter end, then for cards at any group borders, then from the next
+group on.
 Documents without a digit or an @ aren't searched: no kind can occur in them.
 
 Defined results: null texts stay null, empty ones empty, with 0 replacements.
@@ -58,7 +63,13 @@ PATTERN = re.compile(
     r"|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
     r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w))"
+    r"|(?P<digits>(?<![\w-])[0-9](?:[ -]?[0-9]){19,}(?![\w-]))"
 )
+#: Kinds whose match may hold several numbers; digits is nothing itself.
+_SEVERAL = ("iban", "phone", "card", "digits")
+_CARD_MOST = 2 * 19
+_RUN = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+_CARD_GROUPS = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1(?:[0-9]{1,4}|[0-9]{4}\1[0-9]{3})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)]
 _SORT = {c: a for a in _ALPHABETS for c in a}
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -211,7 +222,7 @@ def _secret(t: str, key: bytes, back: bool) -> str:
     return out if t == t.lower() else out.upper()
 
 
-_KINDS = {"email": _email, "iban": _iban, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "card": _card, "secret": _secret}
+_KINDS = {"email": _email, "iban": _iban, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "card": _card, "secret": _secret, "digits": lambda t, key, back: t}
 
 
 @lru_cache(maxsize=100_000)
@@ -225,17 +236,73 @@ def reveal_value(kind: str, value: str, key: bytes = KEY) -> str:
     return _KINDS[kind](value, key, True)
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, int]:
-    """The text with pseudonyms, and how many."""
-    n = 0
+def _cards(text: str, lo: int, hi: int, end: int, usual: bool) -> list[tuple[int, int]]:
+    """Where cards are that begin in lo .. hi at a border of digit groups: those in the usual groups, or any that begin at lo or after a hyphen (others are found from the next group on)."""
+    out: list[tuple[int, int]] = []
+    for run in _RUN.finditer(text, lo, min(end, hi + _CARD_MOST)):
+        groups = [g.span() for g in re.finditer("[0-9]+", run[0])]
+        spans = [(run.start() + a, run.start() + b) for a, b in groups]
+        for i, (start, _) in enumerate(spans):
+            if start >= hi:
+                break
+            before = text[start - 1 : start]
+            if out and start < out[-1][1] or before.isalnum() or before == "_" or not usual and start != lo and before != "-":
+                continue
+            n, ends = 0, []
+            for a, stop in spans[i:]:
+                n += stop - a
+                if n > 19:
+                    break
+                after = text[stop : stop + 1]
+                if n >= 13 and not (after.isalnum() or after == "_"):
+                    ends.append(stop)
+            for stop in reversed(ends):
+                digits = re.sub(r"[ -]", "", text[start:stop])
+                if luhn_digit(digits[:-1]) == digits[-1] and (not usual or _CARD_GROUPS.fullmatch(text, start, stop)):
+                    out.append((start, stop))
+                    break
+    return out
+
+
+def _shorter(m: re.Match[str], key: bytes) -> list[tuple[int, int, str]]:
+    """The longest valid beginning of an IBAN's or a phone number's match, if there is one."""
+    text, start = m.string, m.start()
+    for stop in reversed([g.start() for g in re.finditer("[ .-]", m[0])]):
+        part = PATTERN.match(text, start, start + stop)
+        if part and part.end() == start + stop and part.lastgroup == m.lastgroup and (new := pseudonym(m.lastgroup, part[0], key)) != part[0]:
+            return [(start, part.end(), new)]
+    return []
+
+
+def _found(text: str, lo: int, hi: int, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Start, end and pseudonym of the values between lo and hi."""
+    at = lo
+    while m := PATTERN.search(text, at, hi):
+        kind, (start, at) = m.lastgroup or "digits", m.span()
+        if (new := pseudonym(kind, m[0], key)) != m[0]:
+            yield start, at, new
+            continue
+        if kind not in _SEVERAL:
+            continue
+        held = [(a, b, pseudonym("card", text[a:b], key)) for a, b in _cards(text, start, at, hi, True)]
+        held = held or (_shorter(m, key) if kind in ("iban", "phone") else [])
+        held = held or [(a, b, pseudonym("card", text[a:b], key)) for a, b in _cards(text, start, at, hi, False)]
+        at = start + (not held)
+        for a, b, new in held:
+            if at < a:
+                yield from _found(text, at, a, key)
+            yield a, b, new
+            at = b
 
-    def swap(m: re.Match[str]) -> str:
-        nonlocal n
-        new = pseudonym(m.lastgroup, m[0], key) if m.lastgroup else m[0]
-        n += new != m[0]
-        return new
 
-    return PATTERN.sub(swap, text), n
+def replace(text: str, key: bytes = KEY) -> tuple[str, int]:
+    """The text with pseudonyms, and how many."""
+    out, at, n = [], 0, 0
+    for start, stop, new in _found(text, 0, len(text), key):
+        n += new != text[start:stop]
+        out += [text[at:start], new]
+        at = stop
+    return "".join([*out, text[at:]]), n
 
 
 _MAY = np.zeros(256, np.uint8)

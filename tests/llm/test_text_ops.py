@@ -206,6 +206,31 @@ def test_invalid_values_stay(text):
     assert pii.replace(text) == (text, 0)
 
 
+@pytest.mark.parametrize(
+    ("before", "card", "after"),
+    [
+        ("", "4111 1111 1111 1111", " 12/27"),
+        ("", "4111111111111111", " 123"),
+        ("order 12 ", "4111 1111 1111 1111", ""),
+        ("order 12-", "4111-1111-1111-1111", ""),
+        ("", "4111-1111-1111-1111", "-2024"),
+        ("no. 7 ", "3782 822463 10005", " 12 27"),
+        ("ref +12 ", "4111 1111 1111 1111", ", paid"),
+        ("ref AB12 ", "4111 1111 1111 1111", " paid"),
+        ("9 9 9 ", "4111 1111 1111 1111", " 8 8 8 8"),
+    ],
+)
+def test_cards_beside_other_numbers_are_found(before, card, after):
+    assert pii.replace(before + card + after) == (before + pii.pseudonym("card", card) + after, 1)
+
+
+def test_values_beside_other_numbers_are_found():
+    two = "4111-1111-1111-1111-5500-0000-0000-0004"
+    assert pii.replace(two) == (pii.pseudonym("card", two[:19]) + "-" + pii.pseudonym("card", two[20:]), 2)
+    for kind, value in (("iban", "BE68 5390 0754 7034"), ("phone", "+49 30 1234 5678")):
+        assert pii.replace(f"{value} 2025 2026 2027") == (f"{pii.pseudonym(kind, value)} 2025 2026 2027", 1)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(2, 5000), st.integers(0, 10**6))
 def test_permutation(size, seed):
