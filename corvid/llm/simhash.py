@@ -10,10 +10,10 @@ fingerprints are joined first, so a list never holds copies.  A repetition order
 the coordinates at random and cuts them into strips of 16.  For each of a set of
 random centres a list takes the fingerprints whose partial weight against the
 centre, on the first strip, is at most the limit; a list longer than ``LEAF`` is
-filtered again on the next strip, and short lists are compared pair by pair.  The
-number of repetitions follows from the number of fingerprints so that a pair at
-the full distance is in a common list with probability ``RECALL`` at least; closer
-pairs nearly always are.
+filtered again on the next strip, as often as the number of fingerprints asks for on
+the mean, and what is left is compared pair by pair, however long.  The number of
+repetitions follows from these filters so that a pair at the full distance is in a
+common list with probability ``RECALL`` at least; closer pairs nearly always are.
 
 The first filter is the shuffle key: lists are spread over the cluster, read in
 key order and compared in arrays.  Where the mean list would be longer than
@@ -120,11 +120,15 @@ def _survives(weight: int, lists: float, distance: int) -> float:
     return total
 
 
+def filters(n: int) -> int:
+    """Filters after the first that the mean list of n fingerprints needs to be short."""
+    size = max(n, 1) * _chance(FIRST[0], 0)
+    return max(0, ceil(log(size / LEAF) / -log(_chance(LATER[0], 0)))) if size > LEAF else 0
+
+
 def repetitions(n: int, distance: int = DISTANCE, recall: float = RECALL) -> int:
     """Repetitions for n fingerprints."""
-    size = max(n, 1) * _chance(FIRST[0], 0)
-    deeper = max(0, ceil(log(size / LEAF) / -log(_chance(LATER[0], 0)))) if size > LEAF else 0
-    q = _survives(*FIRST, distance) * _survives(*LATER, distance) ** deeper
+    q = _survives(*FIRST, distance) * _survives(*LATER, distance) ** filters(n)
     return ceil(log(1 - recall) / log(1 - q))
 
 
@@ -201,7 +205,7 @@ def stars(words: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _stars_in_blocks(words: np.ndarray, distance: int) -> np.ndarray:
-    """The same for a list that can't be filtered further: a search from each fingerprint not yet reached."""
+    """The same for a list too long for a matrix: a search from each fingerprint not yet reached."""
     m = len(words)
     waiting = np.ones(m, bool)
     links = []
@@ -221,11 +225,11 @@ def _stars_in_blocks(words: np.ndarray, distance: int) -> np.ndarray:
     return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
 
 
-def compare(ids: np.ndarray, words: np.ndarray, rep: int, level: int, distance: int, leaf: int = LEAF) -> list[np.ndarray]:
-    """Links of one list: filtered again while it is long, else compared pair by pair."""
+def compare(ids: np.ndarray, words: np.ndarray, rep: int, level: int, distance: int, leaf: int = LEAF, planned: int = BITS // STRIP) -> list[np.ndarray]:
+    """Links of one list: filtered again while it is long and filters are planned, else compared pair by pair."""
     if len(ids) < 2:
         return []
-    if len(ids) <= leaf or (level + 1) * STRIP > BITS:
+    if len(ids) <= leaf or level > planned or (level + 1) * STRIP > BITS:
         return [ids[stars(words, distance)]]
     row, centre = _filter(words, rep, level)
     order = np.argsort(centre, kind="stable")
@@ -237,7 +241,7 @@ def compare(ids: np.ndarray, words: np.ndarray, rep: int, level: int, distance:
         if len(part) > 0.8 * len(ids):
             out.append(ids[part][stars(words[part], distance)])
         else:
-            out += compare(ids[part], words[part], rep, level + 1, distance, leaf)
+            out += compare(ids[part], words[part], rep, level + 1, distance, leaf, planned)
     return out
 
 
@@ -263,7 +267,7 @@ def _words(batch: pa.RecordBatch) -> np.ndarray:
 
 def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
     """``a, b`` links between near ones of n distinct fingerprints (``id, f0 .. f3``)."""
-    reps, deeper = repetitions(n, distance, recall), depth(n, list_rows)
+    reps, planned, deeper = repetitions(n, distance, recall), filters(n), depth(n, list_rows)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -285,7 +289,7 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float =
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                got = compare(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), at >> 48, deeper + 1, distance)
+                got = compare(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), at >> 48, deeper + 1, distance, planned=planned)
                 got = [g for g in got if len(g)]
                 if got:
                     both = np.unique(np.concatenate(got), axis=0)

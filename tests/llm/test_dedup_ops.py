@@ -129,6 +129,28 @@ def test_long_lists_are_searched_whole():
     assert set(unite(simhash._stars_in_blocks(words, simhash.DISTANCE).tolist(), range(300)).values()) == {0}
 
 
+def test_lists_longer_than_planned_lose_no_pair(spark):
+    """One repetition of a hot list: every pair at the full distance that the first filter leaves together is found."""
+    rng = np.random.RandomState(11)
+    n = 6000
+    words = rng.randint(0, 1 << 62, (n, 4)).astype(np.uint64) * np.uint64(4) + rng.randint(0, 4, (n, 4)).astype(np.uint64)
+    strip = simhash._strip(0, 0)
+    rest = np.setdiff1d(np.arange(simhash.BITS), strip)
+    for b in strip:
+        words[:, b // 64] |= np.uint64(1) << np.uint64(b % 64)
+    pairs = []
+    for i in range(100):
+        words[n - 1 - i] = words[i]
+        for b in rng.permutation(rest)[: simhash.DISTANCE]:
+            words[n - 1 - i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        pairs.append((n - 1 - i, i))
+    table = pa.table({"id": np.arange(n)} | {f: words[:, k].view(np.int64) for k, f in enumerate(simhash.WORDS)})
+    # a low recall asks for one repetition
+    assert simhash.repetitions(n, recall=0.05) == 1
+    found = {(max(r), min(r)) for r in simhash.links(spark.createDataFrame(table.to_pandas()), n, recall=0.05).collect()}
+    assert set(pairs) <= found
+
+
 @pytest.mark.parametrize("op", [simhash, spotsigs])
 def test_groups_stand_hard_rows(op, hard, clashing, none):
     for df in (hard, clashing):
