@@ -3,26 +3,31 @@
 Each round writes the links to the shared folder, so that neither lineage nor a
 lost executor grows the work; the rounds end when the links no longer change,
 after about the logarithm of the longest chain.
+
+A node's least neighbour is an aggregate, which tasks begin before the shuffle, and is
+joined back to the node's links: a hub with a large part of all links is a long run of
+rows in a join, which adaptive execution splits, and no task holds or sorts it alone.
+
+Defined results: null ends, links of a node to itself and repeated links count for
+nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.storage import cut, drop
 
 
 def _least(adjacent: DataFrame) -> DataFrame:
-    """Each row (n, v) with the least of n and all its v."""
-    return adjacent.withColumn("m", F.least("n", F.min("v").over(Window.partitionBy("n"))))
+    """Each row (n, v) with m, the least of n and all its v."""
+    least = adjacent.groupBy("n").agg(F.min("v").alias("m"))
+    return adjacent.join(least.hint("merge"), "n").select("n", "v", F.least("n", "m").alias("m"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` of every linked node that isn't its component's least; links: two long columns a and b.
-
-    Rows with a null end and links of a node to itself are left out.
-    """
+    """``node, root`` of every linked node that isn't its component's least; links: two long columns a and b."""
     now = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "links")
     mark = None
     while True:
