@@ -16,17 +16,23 @@ repetitions follows from these filters so that a pair at the full distance is in
 common list with probability ``RECALL`` at least; closer pairs nearly always are.
 
 The first filter is the shuffle key: lists are spread over the cluster, read in
-key order and compared in arrays.  Where the mean list would be longer than
-``LIST_ROWS``, as many further filters come before the shuffle as bring it below that,
-so a task's memory doesn't grow with the corpus.  A list leaves the links of its spanning stars,
-not its pairs, so thousands of copies leave thousands of rows.  Groups are the
-connected components; the document with the least doc_id of each group stays.
-
-Defined results: null, empty and wordless texts have no fingerprint and form
-groups of their own.  Repeated rows with one doc_id are one document (its
-fingerprint is that of any of them; as a filter, all its rows stay or go).  Rows
-with a null doc_id aren't compared and stay.  ``groups`` reads doc_id and text;
-``deduplicate`` keeps all columns of its input, whatever their names.
+key order and compared in arrays.  Where the mean list would be longer than half of
+``LIST_ROWS``, as many further filters come before the shuffle as bring it below that.
+Lists are counted first (by an aggregate that tasks begin before the shuffle); one that is
+still longer than ``LIST_ROWS`` is dealt into groups by a hash of the fingerprint's id and
+compared as pairs of groups, so every two of its members meet.  So a task holds
+``LIST_ROWS`` fingerprints of 40 bytes, whatever the corpus and its skew.  A list leaves
+the links of its spanning stars, not its pairs, so thousands of copies leave thousands of
+rows.  Groups are the connected components; the document with the least doc_id of each
+group stays.
+
+Defined results: null, empty and wordless texts have no fingerprint and form groups of
+their own.  Very long texts are cut into words piece by piece and every word votes.  A
+tie of votes is a 0.  Repeated rows with one doc_id are one document (its fingerprint is
+that of any of them; as a filter, all its rows stay or go).  Rows with a null doc_id
+aren't compared and stay; other doc_ids must be integers.  An empty table gives no rows.
+``groups`` reads doc_id and text only; ``deduplicate`` keeps all columns of its input,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ from pyspark.sql import functions as F
 from corvid.llm import textscan as ts
 from corvid.llm.bpe import spread
 from corvid.llm.components import components
-from corvid.storage import cut
+from corvid.storage import cut, scratch
 
 BITS = 256
 SHINGLE = 2
@@ -51,13 +57,18 @@ DISTANCE = 52
 RECALL = 0.95
 LEAF = 2048
 STRIP = 16
-#: Fingerprints that a list may have on the mean when it is sent to a task, about a gigabyte; more filters before the shuffle send each fingerprint more often.
-LIST_ROWS = 20_000_000
+#: Fingerprints of a list that a task holds, 40 MB; more filters before the shuffle send each fingerprint more often.
+LIST_ROWS = 1 << 20
+#: Fingerprints that are filtered at a time.
+BLOCK = 1 << 16
 #: Partial weight and mean lists a fingerprint of the first filter and of later ones.
 FIRST, LATER = (2, 1.0), (4, 4.0)
 WORDS = ("f0", "f1", "f2", "f3")
 _SALTS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 _LANE_MAX = 60_000
+_PATH = (1 << 48) - 1
+#: Shingles that vote at a time.
+_AT_ONCE = 1 << 20
 #: For each byte its 8 bits in 16-bit lanes of two words.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype("<u2")).view("<u8")
 
@@ -91,10 +102,16 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tupl
     at = np.repeat(begin, blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * _LANE_MAX
     of = np.cumsum(blocks) - blocks
     for w, salt in enumerate(_SALTS):
-        raw = ts.mix(s ^ np.uint64(salt)).view(np.uint8).reshape(-1, 8)
         votes = np.empty((len(at), 64), np.int64)
-        for b in range(8):
-            votes[:, 8 * b : 8 * b + 8] = np.add.reduceat(_LANES[raw[:, b]], at, axis=0).view("<u2").reshape(len(at), 8)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _AT_ONCE)))
+            begins = at[lo:hi]
+            part = s[begins[0] : at[hi] if hi < len(at) else len(s)]
+            raw = ts.mix(part ^ np.uint64(salt)).view(np.uint8).reshape(-1, 8)
+            for b in range(8):
+                votes[lo:hi, 8 * b : 8 * b + 8] = np.add.reduceat(_LANES[raw[:, b]], begins - begins[0], axis=0).view("<u2").reshape(hi - lo, 8)
+            lo = hi
         if len(at) > len(of):
             votes = np.add.reduceat(votes, of, axis=0)
         out[full, w] = np.packbits(votes * 2 > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
@@ -135,7 +152,7 @@ def repetitions(n: int, distance: int = DISTANCE, recall: float = RECALL) -> int
 def depth(n: int, list_rows: int = LIST_ROWS) -> int:
     """Filters after the first that come before the shuffle."""
     size, out = n * _chance(FIRST[0], 0), 0
-    while size > list_rows and (out + 2) * STRIP < BITS:
+    while size > list_rows / 2 and (out + 2) * STRIP < BITS:
         size, out = size * _chance(LATER[0], 0), out + 1
     return out
 
@@ -161,6 +178,9 @@ def _lists(rep: int, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _filter(words: np.ndarray, rep: int, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and centre of each list place that the fingerprints get."""
+    if len(words) > BLOCK:
+        parts = [_filter(words[lo : lo + BLOCK], rep, level) for lo in range(0, len(words), BLOCK)]
+        return np.concatenate([row + i * BLOCK for i, (row, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
     bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), BITS // 8), axis=1, bitorder="little")
     value = bits[:, _strip(rep, level)].astype(np.int64) @ (1 << np.arange(STRIP))
     first, centre = _lists(rep, level)
@@ -265,23 +285,56 @@ def _words(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
 
 
+def deal(row: np.ndarray, key: np.ndarray, ids: np.ndarray, hot: np.ndarray, dealt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and lists with each of the hot lists (sorted) replaced by the pairs of its groups that the row's own is in."""
+    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+    long = hot[at] == key
+    rows, keys = [row[~long]], [key[~long]]
+    for r, k, n in zip(row[long], key[long], dealt[at[long]]):
+        own = ts.mix(ids[r : r + 1]) % np.uint64(n)
+        other = np.arange(n, dtype=np.uint64)
+        pair = np.minimum(own, other) * np.uint64(n) + np.maximum(own, other)
+        path = ts.mix(np.full(n, k & _PATH, np.uint64) * np.uint64(ts.BASE) + pair + np.uint64(1)) & np.uint64(_PATH)
+        rows.append(np.full(n, r))
+        keys.append((k & ~_PATH) + path.astype(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
     """``a, b`` links between near ones of n distinct fingerprints (``id, f0 .. f3``)."""
     reps, planned, deeper = repetitions(n, distance, recall), filters(n), depth(n, list_rows)
 
+    def placed(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row and list of each place that the fingerprints get, a repetition at a time."""
+        for rep in range(reps):
+            row, path = _filter(words, rep, 0)
+            path = path.astype(np.uint64)
+            for level in range(1, deeper + 1):
+                sub, centre = _filter(words[row], rep, level)
+                row, path = row[sub], ts.mix(path[sub] * np.uint64(ts.BASE) + centre.astype(np.uint64))
+            # lists whose paths share 48 bits are compared as one
+            yield row, (rep << 48) + (path & np.uint64(_PATH)).astype(np.int64)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, key in placed(_words(batch)):
+                lists, m = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(m)], ["list", "m"])
+
+    # one row for list_rows places at least
+    long = distinct.select(*WORDS).mapInArrow(counts, "list long, m long").groupBy("list").agg(F.sum("m").alias("m")).where(F.col("m") > list_rows).toPandas()
+    long = long.sort_values("list")
+    hot, dealt = long["list"].to_numpy(np.int64), -(-2 * long["m"].to_numpy(np.int64) // list_rows)
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
-                words = _words(batch)
-                for rep in range(reps):
-                    row, path = _filter(words, rep, 0)
-                    path = path.astype(np.uint64)
-                    for level in range(1, deeper + 1):
-                        sub, centre = _filter(words[row], rep, level)
-                        row, path = row[sub], ts.mix(path[sub] * np.uint64(ts.BASE) + centre.astype(np.uint64))
-                    # lists whose paths share 48 bits are compared as one
-                    yield pa.RecordBatch.from_arrays([pa.array((rep << 48) + (path & np.uint64((1 << 48) - 1)).astype(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("id", *WORDS))], ["list", "id", *WORDS])
+                ids = batch.column("id").to_numpy().view(np.uint64)
+                for row, key in placed(_words(batch)):
+                    if len(hot):
+                        row, key = deal(row, key, ids, hot, dealt)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(pa.array(row)) for c in ("id", *WORDS))], ["list", "id", *WORDS])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -314,13 +367,14 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float =
 def groups(docs: DataFrame, distance: int = DISTANCE, recall: float = RECALL, k: int = SHINGLE) -> DataFrame:
     """``doc_id, group_id, keep`` of every document: group_id is the least doc_id of its group, which is kept."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = cut(table(ids.where("doc_id is not null"), k), "fingerprints")
-    known = prints.where("n_shingles > 0")
-    distinct = cut(known.groupBy(*WORDS).agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    near = links(distinct, distinct.count(), distance, recall)
-    same = known.join(distinct, list(WORDS)).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    # one doc_id may have rows with different texts: their fingerprints' ids are linked through it
-    found = components(same.unionByName(near))
+    with scratch(docs.sparkSession) as keep:
+        prints = cut(table(ids.where("doc_id is not null"), k), "fingerprints")
+        known = prints.where("n_shingles > 0")
+        distinct = cut(known.groupBy(*WORDS).agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
+        near = links(distinct, distinct.count(), distance, recall)
+        same = known.join(distinct, list(WORDS)).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+        # one doc_id may have rows with different texts: their fingerprints' ids are linked through it
+        found = keep(components(same.unionByName(near)))
     every = ids.where("doc_id is not null").select("doc_id").distinct()
     joined = every.join(found, F.col("doc_id") == F.col("node"), "left")
     return joined.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.col("root").isNull().alias("keep"))
