@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass
 from typing import Any, TypeVar
 
@@ -191,14 +193,39 @@ class CircuitBreaker:
         return out
 
 
+_OUTCOME = (T.StructField("result", T.StringType()), T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("error_type", T.StringType()))
+
+
+def _kind(e: BaseException) -> str:
+    return getattr(e, "kind", type(e).__name__)
+
+
+def in_time(call: Callable[[], R], seconds: float | None) -> R:
+    """The call's result, or ``TimedOut`` after so many seconds; the call itself isn't stopped, its result is dropped."""
+    if seconds is None:
+        return call()
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(seconds)
+    except FutureTimeout as e:
+        raise TimedOut(f"no result within {seconds:g} s") from e
+    finally:
+        pool.shutdown(wait=False)
+
+
 def process(
-    df: DataFrame, f: Callable[[list[Any]], list[str | None]], column: str, size: int = 20, retry: Retry = Retry(), per_minute: float | None = None, breaker: bool = False,
+    df: DataFrame, f: Callable[[list[Any]], list[str | None]], column: str, size: int = 20, retry: Retry = Retry(), per_minute: float | None = None, breaker: bool = False, timeout: float | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """The rows with ``result, ok, error, error_type``: f is called for ``size`` values at a time in each task.
 
-    A batch that fails after its attempts leaves rows with the error; nothing is lost
-    and the job goes on.  Limits and the breaker are per task.
+    A batch that fails after its attempts, or isn't there in time, leaves rows with the
+    error; nothing is lost and the job goes on.  The breaker is per task.  ``per_minute``
+    is the rate of the whole job: the rows are dealt to ``tasks`` (by default as many as
+    the session runs at a time) and each of them keeps an equal share of it.
     """
+    if per_minute is not None:
+        tasks = tasks or max(1, df.sparkSession.sparkContext.defaultParallelism)
+        df, per_minute = df.repartition(tasks), per_minute / tasks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limiter = RateLimiter(per_minute) if per_minute else None
@@ -211,7 +238,7 @@ def process(
                 def once(values: list[Any] = values) -> list[str | None]:
                     if limiter:
                         limiter.wait()
-                    return f(values)
+                    return in_time(lambda: f(values), timeout)
 
                 def call(once: Callable[[], list[str | None]] = once) -> list[str | None]:
                     return with_retry(once, retry)
@@ -220,11 +247,94 @@ def process(
                     got = guard.call(call) if guard else call()
                     yield part.assign(result=got, ok=True, error=None, error_type=None)
                 except Exception as e:  # noqa: BLE001 - becomes a row
-                    yield part.assign(result=None, ok=False, error=str(e), error_type=getattr(e, "kind", type(e).__name__))
+                    yield part.assign(result=None, ok=False, error=str(e), error_type=_kind(e))
+
+    return df.mapInPandas(run, T.StructType([*df.schema, *_OUTCOME]))
+
+
+class AdaptiveConcurrency:
+    """How many calls run at a time: more after a batch that went well, fewer after failures."""
+
+    def __init__(self, start: int = 4, least: int = 1, most: int = 16, factor: float = 0.5) -> None:
+        if not 1 <= least <= start <= most:
+            raise ValueError("least <= start <= most must hold")
+        self.now, self.least, self.most, self.factor = start, least, most, factor
+
+    def record(self, succeeded: int, failed: int) -> int:
+        """By the batch's success rate: unchanged at a half, by ``factor`` up at 1 and down at 0."""
+        if succeeded + failed:
+            rate = succeeded / (succeeded + failed)
+            change = (rate - 0.5) * 2 * self.factor * self.now
+            self.now = min(self.most, max(self.least, self.now + (max(1, round(change)) if change > 0 else min(-1, round(change)) if change < 0 else 0)))
+        return self.now
+
+
+def process_items(
+    df: DataFrame, f: Callable[[Any], str | None], column: str, size: int = 10, retry: Retry = Retry(), timeout: float | None = None, concurrency: int | AdaptiveConcurrency = 4,
+) -> DataFrame:
+    """The rows with ``result, ok, error, error_type, attempts``: f is called for one value at a time.
+
+    Each value has attempts and an outcome of its own, so one that fails takes no other
+    with it.  ``concurrency`` calls run at a time in a task; an adaptive one is changed
+    after every ``size`` values by how many of them failed.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a task has its own copy
+        adapt = replace_concurrency(concurrency)
+        with ThreadPoolExecutor(adapt.most) as pool:
+            for pdf in batches:
+                lo = 0
+                while lo < len(pdf):
+                    part = pdf.iloc[lo : lo + size]
+                    rows: list[tuple[Any, ...]] = []
+                    values = part[column].tolist()
+                    for at in range(0, len(values), adapt.now):
+                        rows += pool.map(one, values[at : at + adapt.now])
+                    failed = sum(not r[1] for r in rows)
+                    adapt.record(len(rows) - failed, failed)
+                    yield part.assign(**{n: pd.Series([r[i] for r in rows], index=part.index, dtype=object if i != 4 else "int64") for i, n in enumerate(("result", "ok", "error", "error_type", "attempts"))})
+                    lo += size
+
+    def one(value: Any) -> tuple[Any, ...]:
+        tries = 0
+
+        def call() -> str | None:
+            nonlocal tries
+            tries += 1
+            return in_time(lambda: f(value), timeout)
+
+        try:
+            return with_retry(call, retry), True, None, None, tries
+        except Exception as e:  # noqa: BLE001 - becomes a row
+            return None, False, str(e), _kind(e), tries
+
+    return df.mapInPandas(run, T.StructType([*df.schema, *_OUTCOME, T.StructField("attempts", T.LongType())]))
+
+
+def replace_concurrency(given: int | AdaptiveConcurrency) -> AdaptiveConcurrency:
+    """A fresh one; a number stays as it is."""
+    if isinstance(given, AdaptiveConcurrency):
+        return AdaptiveConcurrency(given.now, given.least, given.most, given.factor)
+    return AdaptiveConcurrency(given, given, given)
+
+
+def retry_failed(done: DataFrame, again: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+    """The outcomes after failed rows ran again, as jobs of their own: rows that succeeded aren't called again.
+
+    ``done`` is what :func:`process` or :func:`process_items` gave; ``again`` does it once
+    more for the rows without their outcome.
+    """
+    outcome = {"result", "ok", "error", "error_type", "attempts"}
+    from corvid.storage import cut
 
-    # a schema's add changes the frame's own
-    schema = T.StructType(list(df.schema.fields)).add("result", "string").add("ok", "boolean").add("error", "string").add("error_type", "string")
-    return df.mapInPandas(run, schema)
+    done = cut(done, "outcomes")
+    for _ in range(rounds):
+        failed = done.where("not ok")
+        if failed.isEmpty():
+            break
+        done = cut(done.where("ok").unionByName(again(failed.drop(*outcome))), "outcomes")
+    return done
 
 
 def breaker_states(events: DataFrame, key: str, order: list[str], failed: str, failures: int = 5, successes: int = 2, reset_s: float = 60.0, at: str = "ts") -> DataFrame:

@@ -27,7 +27,7 @@ _MARK = "\u0001"
 
 @dataclass(frozen=True)
 class Chunking:
-    """Sizes are in characters."""
+    """Sizes are in characters; ``threshold`` is the cosine under which neighbouring paragraphs part."""
 
     size: int = 500
     overlap: int = 50
@@ -49,18 +49,36 @@ def _filled(units: Column) -> Column:
 
 
 def merge_units(units: Column, size: int, overlap: int) -> Column:
-    """Units joined by blank lines up to about ``size``; a new chunk begins with the end of the one before."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Units joined by blank lines up to about ``size``; a new chunk begins with the end of the one before.
+
+    The fold carries lengths and the places of breaks, never chunks: a chunk's length
+    follows from its units' (the end of the one before and two blank lines come first),
+    so the finished chunks aren't copied at every unit.  The texts are joined once, in the
+    fold's last step, where units and breaks are values and aren't computed again.
+    """
+    start = F.struct(units.alias("u"), F.array().cast("array<int>").alias("breaks"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+    # the least of the overlap and the length before, and the lines after it
+    seed = lambda n: F.least(n, F.lit(overlap)) + 2 if overlap else F.lit(0)
 
     def step(s: Column, u: Column) -> Column:
-        now = s["now"]
-        full = (F.length(now) + F.length(u) > size) & (now != "")
-        seed = F.concat(F.substring(now, -overlap, overlap), F.lit("\n\n")) if overlap else F.lit("")
-        base = F.when(full, seed).otherwise(now)
-        joined = F.concat(base, F.when(base != "", F.lit("\n\n")).otherwise(F.lit("")), u)
-        return F.struct(F.when(full, F.concat(s["done"], F.array(now))).otherwise(s["done"]).alias("done"), joined.alias("now"))
+        full = (s["n"] + F.length(u) > size) & (s["n"] > 0)
+        base = F.when(full, seed(s["n"])).otherwise(s["n"])
+        n = base + F.when(base > 0, 2).otherwise(0) + F.length(u)
+        return F.struct(s["u"].alias("u"), F.when(full, F.array_append(s["breaks"], s["at"])).otherwise(s["breaks"]).alias("breaks"), n.alias("n"), (s["at"] + 1).alias("at"))
+
+    def extend(s: Column, c: Column) -> Column:
+        whole = F.when(s["before"] != "", F.concat(F.substring(s["before"], -overlap, overlap), F.lit("\n\n\n\n"), c)).otherwise(c)
+        return F.struct(F.array_append(s["done"], whole).alias("done"), whole.alias("before"))
 
-    return F.aggregate(units, start, step, lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    def finish(s: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), s["breaks"])
+        own = F.transform(begins, lambda b, i: F.array_join(F.slice(s["u"], b + 1, F.coalesce(F.get(s["breaks"], i), F.size(s["u"])) - b), "\n\n"))
+        if overlap:
+            first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("before"))
+            own = F.aggregate(own, first, extend, lambda x: x["done"])
+        return F.when(s["at"] > 0, own).otherwise(F.array().cast("array<string>"))
+
+    return F.aggregate(units, start, step, finish)
 
 
 def paragraphs(text: Column, c: Chunking) -> Column:
@@ -145,15 +163,17 @@ def _numbered(df: DataFrame, strategy: str) -> DataFrame:
     )
 
 
-def chunk(docs: DataFrame, strategy: str = "paragraph", options: Chunking = Chunking()) -> DataFrame:
-    """The chunks of every document."""
+def chunk(docs: DataFrame, strategy: str = "paragraph", options: Chunking = Chunking(), embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The chunks of every document; ``embed`` is for the semantic strategy."""
     extra = ["metadata"] if "metadata" in docs.columns else []
     if strategy == "content_aware":
         return content_aware(docs, options)
     if strategy == "hierarchical":
         return hierarchical(docs, options)
+    if strategy == "semantic":
+        return semantic_documents(docs, options, embed)
     if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join([*STRATEGIES, 'hierarchical', 'content_aware'])}")
+        raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join([*STRATEGIES, 'hierarchical', 'content_aware', 'semantic'])}")
     return _numbered(docs.where("content is not null").select("id", *extra, STRATEGIES[strategy](F.col("content"), options).alias("chunks")), strategy)
 
 
@@ -209,18 +229,33 @@ def best_cuts(at: np.ndarray, window: int, least: int) -> list[int]:
     A chunk under ``least`` can't be, one over ``window`` costs the square of the
     excess, any other what it lacks; ties keep the earliest cut.  An end that can't be
     reached makes the whole text one chunk.
+
+    Only so far back is searched as a chunk can still pay: what comes before costs at
+    least the square of the excess, so once this is more than the best found, and costs
+    are never negative, all earlier cuts are dearer.
     """
     n = len(at)
     cost, parent = np.full(n, np.inf), np.full(n, -1)
     cost[0] = 0.0
     for i in range(1, n):
-        size = (at[i] - at[:i]).astype(np.float64)
-        each = np.where(size > window, (size - window) ** 2, window - size)
-        each[size < least] = np.inf
-        total = cost[:i] + each
-        j = int(np.argmin(total))
-        if total[j] < np.inf:
-            cost[i], parent[i] = total[j], j
+        hi, width = i, 64
+        best, choice = np.inf, -1
+        while hi > 0:
+            lo = max(0, hi - width)
+            size = (at[i] - at[lo:hi]).astype(np.float64)
+            each = np.where(size > window, (size - window) ** 2, window - size)
+            each[size < least] = np.inf
+            total = cost[lo:hi] + each
+            j = int(np.argmin(total))
+            # an equal one further back is earlier
+            if total[j] <= best and total[j] < np.inf:
+                best, choice = total[j], lo + j
+            excess = at[i] - at[lo] - window
+            if excess > 0 and float(excess) ** 2 > best:
+                break
+            hi, width = lo, width * 2
+        if best < np.inf:
+            cost[i], parent[i] = best, choice
     if not np.isfinite(cost[-1]):
         return [n - 1]
     out, i = [], n - 1
@@ -260,8 +295,8 @@ def content_aware(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
 def semantic(units: DataFrame, key: str, order: str, content: str, embedding: str, options: Chunking = Chunking()) -> DataFrame:
     """Neighbouring units of one key joined while their cosine is the threshold at least.
 
-    ``key, chunk_index, n_units, content``: islands by a running sum over the bounds.
-    A group longer than the window is cut into windows by :func:`fallback` if wanted.
+    ``key, chunk_index, n_units, content``: islands by a running sum over the bounds, for
+    units that have vectors already; :func:`semantic_documents` begins with texts.
     """
     w = Window.partitionBy(key).orderBy(order)
     near = V.cosine(F.lag(embedding).over(w), F.col(embedding))
@@ -272,3 +307,33 @@ def semantic(units: DataFrame, key: str, order: str, content: str, embedding: st
         .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c")))).alias("units"))
         .select(key, "chunk_index", F.size("units").cast("long").alias("n_units"), F.array_join(F.transform("units", lambda u: u["c"]), "\n\n").alias("content"))
     )
+
+
+def semantic_documents(docs: DataFrame, c: Chunking = Chunking(), embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Paragraphs of a document joined while neighbours are similar, from the text itself.
+
+    Paragraphs are what lies between blank lines; they are embedded (``embed`` adds
+    ``embedding`` to rows with ``content``; without one, tokens are hashed), and a chunk
+    ends where the cosine of two neighbours is under the threshold.  A chunk longer than
+    the window is cut into windows.  A document of one paragraph, or without a bound, is
+    cut into windows as a whole.
+    """
+    extra = ["metadata"] if "metadata" in docs.columns else []
+    texts = docs.where("content is not null").select("id", *extra, "content").withColumn("__units", F.filter(F.transform(F.split("content", "\n\n"), lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != ""))
+    several = texts.where(F.size("__units") > 1)
+    units = several.select("id", F.posexplode("__units").alias("place", "content"))
+    if embed is None:
+        from corvid.operators import embedding
+
+        vectors = embedding.embed(units, embedding.HashingEmbedder(64), 64)
+    else:
+        vectors = embed(units)
+    w = Window.partitionBy("id").orderBy("place")
+    near = V.cosine(F.lag("embedding").over(w), F.col("embedding"))
+    bounds = vectors.withColumn("near", near).where(F.col("near") < c.threshold).groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("__bounds"))
+    joined = texts.join(bounds, "id", "left")
+    begins = F.concat(F.array(F.lit(0)), F.col("__bounds"))
+    groups = F.transform(begins, lambda b, i: F.array_join(F.slice("__units", b + 1, F.coalesce(F.get("__bounds", i), F.size("__units")) - b), "\n\n"))
+    cut = F.flatten(F.transform(groups, lambda g: F.when(F.length(g) > c.window, windows(g, c.window, c.window)).otherwise(F.array(g))))
+    chunks = F.when(F.col("__bounds").isNull(), fallback(F.col("content"), c)).otherwise(cut)
+    return _numbered(joined.select("id", *extra, chunks.alias("chunks")), "semantic")

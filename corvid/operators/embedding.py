@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.functions import vector as V
 
 Embed = Callable[[list[str]], "list[list[float]]"]
+_TOKEN = re.compile("[a-z0-9]+").findall
 
 
 def bucket(token: Column, dim: int) -> Column:
@@ -21,12 +24,38 @@ def bucket(token: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim))
 
 
+class _Buckets(dict):
+    """Bucket of each token that was met, by its MD5; emptied when it is large."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[token] = out = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        return out
+
+
+def _counts(text: str, buckets: _Buckets) -> np.ndarray:
+    return np.bincount([buckets[t] for t in _TOKEN(text)], minlength=buckets.dim)
+
+
 def hashing_vectors(texts: DataFrame, key: str, content: str, dim: int = 64) -> DataFrame:
-    """``key, bucket, weight``: token counts by bucket, of unit length together; no Python."""
-    tokens = texts.select(key, F.explode(F.filter(F.split(F.lower(content), "[^a-z0-9]+"), lambda t: t != "")).alias("token"))
-    counts = tokens.select(key, bucket(F.col("token"), dim).alias("bucket")).groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("n") / size).alias("weight"))
+    """``key, bucket, weight``: token counts by bucket, of unit length together; a map, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets(dim)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            counts = np.stack([_counts(t or "", buckets) for t in batch.column(1).to_pylist()])
+            size = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1))
+            row, at = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at), pa.array(counts[row, at] / size[row])], [key, "bucket", "weight"])
+
+    low = texts.select(key, F.lower(content).alias("text"))
+    return low.mapInArrow(run, T.StructType([*texts.select(key).schema, T.StructField("bucket", T.LongType()), T.StructField("weight", T.DoubleType())]))
 
 
 def hashing_embedding(text: Column, dim: int = 64) -> Column:
@@ -43,12 +72,8 @@ class HashingEmbedder:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        import re
-
-        out = np.zeros((len(texts), self.dim))
-        for i, t in enumerate(texts):
-            for token in filter(None, re.split("[^a-z0-9]+", (t or "").lower())):
-                out[i, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim] += 1
+        buckets = _Buckets(self.dim)
+        out = np.array([_counts((t or "").lower(), buckets) for t in texts], float).reshape(len(texts), self.dim)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(size > 0, size, 1.0)).tolist()
 

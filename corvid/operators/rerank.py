@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Candidates a query that greedy selection may hold; retrieval's k bounds them, more is an error, never a cut.
-MOST = 10_000
+#: Column of similarities to one chosen candidate, from its place and its score.
+Similar = Callable[[int, float], np.ndarray]
 
 
 def _ranked(df: DataFrame, limit: int, threshold: float | None) -> DataFrame:
@@ -25,58 +26,72 @@ def take(candidates: DataFrame, limit: int = 5, threshold: float | None = None)
     return _ranked(candidates.select("query_id", "id", "score"), limit, threshold)
 
 
-def _greedy(limit: int, relevance_weight: float, similar: Callable[[pd.DataFrame], Callable[[int, int, float], float]], value: Callable[[float, float], float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST:
-            raise ValueError(f"a query has more than {MOST} candidates")
-        group = group.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        of, n = similar(group), len(group)
-        chosen, scores = [0], [float(group.score[0])]
-        worst = np.array([of(i, 0, scores[0]) for i in range(n)])
-        while len(chosen) < min(limit, n):
-            gain = np.array([value(float(group.score[i]), float(worst[i])) for i in range(n)])
-            gain[chosen] = -np.inf
-            # ties within rounding go to the better candidate
-            best = int(np.argmax(np.round(gain, 9)))
-            chosen.append(best)
-            scores.append(float(gain[best]))
-            worst = np.maximum(worst, [of(i, best, scores[-1]) for i in range(n)])
-        out = group.loc[chosen, ["query_id", "id", "score"]].reset_index(drop=True)
-        return out.assign(mmr_score=scores, rank=np.arange(1, len(out) + 1))
-
-    return pick
-
-
-def _run(candidates: DataFrame, pick: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    schema = candidates.select("query_id", "id", F.col("score").cast("double").alias("score")).schema.add("mmr_score", "double").add("rank", "long")
-    return candidates.withColumn("score", F.col("score").cast("double")).groupBy("query_id").applyInPandas(pick, schema)
+def greedy(scores: np.ndarray, limit: int, similar: Similar, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[int], list[float]]:
+    """Places of the chosen and their values; scores come in falling order, and the best is chosen first with its own."""
+    chosen, values = [0], [float(scores[0])]
+    worst = similar(0, values[0])
+    while len(chosen) < min(limit, len(scores)):
+        gain = value(scores, worst)
+        gain[chosen] = -np.inf
+        # ties within rounding go to the better candidate
+        best = int(np.argmax(np.round(gain, 9)))
+        chosen.append(best)
+        values.append(float(gain[best]))
+        if len(chosen) < limit:
+            worst = np.maximum(worst, similar(best, values[-1]))
+    return chosen, values
+
+
+def _run(candidates: DataFrame, limit: int, vectors: bool, pick: Callable[[np.ndarray, np.ndarray | None], tuple[list[int], list[float]]]) -> DataFrame:
+    """A query's candidates are one row, many queries one Arrow batch."""
+    fields = [(-F.col("score").cast("double")).alias("neg"), F.col("id").alias("id"), *([F.col("embedding").cast("array<double>").alias("x")] if vectors else [])]
+    rows = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("c")
+            at, held = lists.offsets.to_numpy(), lists.values
+            scores, ids = -held.field("neg").to_numpy(), held.field("id")
+            row: list[int] = []
+            places: list[int] = []
+            values: list[float] = []
+            ranks: list[int] = []
+            for i, (lo, hi) in enumerate(zip(at, at[1:])):
+                x = held.field("x").slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1) if vectors else None
+                chosen, got = pick(scores[lo:hi], x)
+                row += [i] * len(chosen)
+                places += [int(lo) + c for c in chosen]
+                values += got
+                ranks += range(1, len(chosen) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row, pa.int64())), ids.take(pa.array(places, pa.int64())), pa.array(scores[places] if places else [], pa.float64()), pa.array(values, pa.float64()), pa.array(ranks, pa.int64())], ["query_id", "id", "score", "mmr_score", "rank"])
+
+    schema = T.StructType([*candidates.select("query_id", "id").schema]).add("score", "double").add("mmr_score", "double").add("rank", "long")
+    return rows.mapInArrow(run, schema)
 
 
 def mmr(candidates: DataFrame, limit: int = 5, weight: float = 0.7) -> DataFrame:
     """Greedy diversification by the candidates' embeddings.
 
     The best comes first with its own score; then always the one with the greatest
-    ``weight * score - (1 - weight) * max(0, most similar of the chosen)``.
+    ``weight * score - (1 - weight) * max(0, most similar of the chosen)``.  Only the
+    similarities to chosen ones are computed.
     """
 
-    def similar(group: pd.DataFrame) -> Callable[[int, int, float], float]:
-        x = np.array([np.asarray(v, np.float64) for v in group.embedding])
+    def pick(scores: np.ndarray, x: np.ndarray | None) -> tuple[list[int], list[float]]:
         size = np.linalg.norm(x, axis=1)
         unit = x / np.where(size > 0, size, 1.0)[:, None]
-        near = unit @ unit.T
-        return lambda i, j, _: max(0.0, float(near[i, j]))
+        return greedy(scores, limit, lambda j, _: np.maximum(0.0, unit @ unit[j]), lambda r, s: weight * r - (1 - weight) * s)
 
-    return _run(candidates.select("query_id", "id", "score", "embedding"), _greedy(limit, weight, similar, lambda r, s: weight * r - (1 - weight) * s))
+    return _run(candidates, limit, True, pick)
 
 
 def mmr_by_score(candidates: DataFrame, limit: int = 5, weight: float = 0.7) -> DataFrame:
     """The same without vectors: the product of the scores stands in for similarity."""
 
-    def similar(group: pd.DataFrame) -> Callable[[int, int, float], float]:
-        s = group.score.to_numpy(float)
-        return lambda i, _, chosen: float(s[i]) * chosen
+    def pick(scores: np.ndarray, _: np.ndarray | None) -> tuple[list[int], list[float]]:
+        return greedy(scores, limit, lambda j, chosen: scores * chosen, lambda r, s: weight * r + (1 - weight) * (1 - s))
 
-    return _run(candidates.select("query_id", "id", "score"), _greedy(limit, weight, similar, lambda r, s: weight * r + (1 - weight) * (1 - s)))
+    return _run(candidates, limit, False, pick)
 
 
 def cross_encode(candidates: DataFrame, score: Column | None = None, limit: int = 5, threshold: float | None = 0.0) -> DataFrame:

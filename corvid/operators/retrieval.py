@@ -1,11 +1,12 @@
 """Vector tables: exact and approximate search, upsert, delete.
 
 A store is a DataFrame ``id, embedding`` with any other columns for filters.  Search
-takes a table of queries (``query_id, qvec``) and answers all of them in one job.  Both
-sides are packed into blocks of rows, each pair of blocks is one matrix product that
-leaves its best k a query, and a window keeps the best of those; so what moves is
-k rows a query and block pair, memory is bounded by the block, and no side is
-broadcast whatever its size.  Ties go to the least id.
+takes a table of queries (``query_id, qvec``) and answers all of them in one job.  While
+the queries, as counted, take at most ``QUERY_BYTES``, every task has them all and keeps
+the best k a query over its part of the store, which is read once and never moves.  More
+queries are packed into blocks of rows like the store, and each pair of blocks is one
+matrix product that leaves its best k a query.  A window keeps the best of what the
+tasks leave.  Ties go to the least id.  :mod:`corvid.operators.index` searches a part.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvid.functions import filters
 from corvid.functions import vector as V
 
 BLOCK = 4096
+#: Queries that every task may hold; checked by a count before.
+QUERY_BYTES = 64 << 20
 
 
 def _blocks(df: DataFrame, key: str, vector: str, names: tuple[str, str], block: int) -> DataFrame:
@@ -58,9 +62,93 @@ def scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}; there are {', '.join(V.METRICS)}")
 
 
+def _best(metric: str, qk: pa.Array, q: np.ndarray, vk: pa.Array, v: np.ndarray, k: int, min_score: float | None, above: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, place in the store's rows and score of the k best a query."""
+    if len(v) and len(q) and q.shape[1] != v.shape[1]:
+        raise ValueError(f"queries have {q.shape[1]} dimensions, the store {v.shape[1]}")
+    order = np.argsort(vk.to_numpy(zero_copy_only=False), kind="stable")
+    # equal vectors can differ in the last bits of a product; the rounded score decides, then the id
+    got = np.round(scores(metric, q, v[order]), 12)
+    if got.shape[1] > 4 * k:
+        # all that reach the k-th score, so that the least ids of a tie are among them
+        least = np.partition(got, got.shape[1] - k, axis=1)[:, got.shape[1] - k][:, None]
+        row, col = np.nonzero(got >= least)
+        value = got[row, col]
+        ranked = np.lexsort((col, -value, row))
+        row, col, value = row[ranked], col[ranked], value[ranked]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = nth < k
+    else:
+        top = np.argsort(-got, axis=1, kind="stable")[:, :k]
+        row, col, value = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel(), np.take_along_axis(got, top, axis=1).ravel()
+        keep = np.ones(len(row), bool)
+    if above is not None:
+        keep &= value > above
+    if min_score is not None:
+        keep &= value >= min_score
+    return row[keep], order[col[keep]], value[keep]
+
+
+def _search_held(store: DataFrame, asked: DataFrame, schema: T.StructType, k: int, metric: str, min_score: float | None, above: float | None, block: int) -> DataFrame:
+    """Every task has the queries and goes through its part of the store."""
+    held = asked.toArrow().combine_chunks()
+    qk = held.column("query_id").combine_chunks()
+    numbers = held.column("qvec").combine_chunks().flatten().to_numpy()
+    shared = store.sparkSession.sparkContext.broadcast((qk, numbers.reshape(len(qk), -1) if len(qk) else np.zeros((0, 0))))
+    rows = store.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, q = shared.value
+        left: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        n = 0
+
+        def best() -> tuple[np.ndarray, pa.Array, np.ndarray]:
+            """The best k a query of what is left so far."""
+            row, ids, value = np.concatenate([x[0] for x in left]), pa.concat_arrays([x[1] for x in left]), np.concatenate([x[2] for x in left])
+            by_id = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+            ranked = by_id[np.lexsort((-value[by_id], row[by_id]))]
+            keep = ranked[np.arange(len(row)) - np.searchsorted(row[ranked], row[ranked]) < k]
+            return row[keep], ids.take(pa.array(keep)), value[keep]
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows if len(keys) else 0, block):
+                part = batch.slice(lo, block)
+                v = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
+                # as many queries at a time as make a block of scores
+                for at in range(0, len(keys), block):
+                    row, place, value = _best(metric, keys, q[at : at + block], part.column("id"), v, k, min_score, above)
+                    left.append((row + at, part.column("id").take(pa.array(place)), value))
+                    n += len(row)
+                if n > 4 * k * len(keys):
+                    left = [best()]
+                    n = len(left[0][0])
+        if n:
+            row, ids, value = best()
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), ids, pa.array(value)], ["query_id", "id", "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _search_blocks(store: DataFrame, asked: DataFrame, schema: T.StructType, k: int, metric: str, min_score: float | None, above: float | None, block: int) -> DataFrame:
+    """Blocks of queries against blocks of the store."""
+    left = _blocks(asked, "query_id", "qvec", ("qk", "qv"), block)
+    right = _blocks(store, "id", "embedding", ("vk", "vv"), block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qk, vk = batch.column("qk")[i].values, batch.column("vk")[i].values
+                q = batch.column("qv")[i].values.to_numpy().reshape(len(qk), -1)
+                v = batch.column("vv")[i].values.to_numpy().reshape(len(vk), -1)
+                row, place, value = _best(metric, qk, q, vk, v, k, min_score, above)
+                yield pa.RecordBatch.from_arrays([qk.take(pa.array(row)), vk.take(pa.array(place)), pa.array(value)], ["query_id", "id", "score"])
+
+    return left.crossJoin(right).mapInArrow(run, schema)
+
+
 def search(
     store: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", min_score: float | None = None, above: float | None = 0.0,
-    where: filters.Condition | filters.Group | Mapping[str, Any] | None = None, block: int = BLOCK,
+    where: filters.Condition | filters.Group | Mapping[str, Any] | None = None, block: int = BLOCK, query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """``query_id, rank, id, score``: the k best of the store for every query.
 
@@ -71,34 +159,14 @@ def search(
         raise ValueError(f"unknown metric {metric!r}; there are {', '.join(V.METRICS)}")
     if k < 1:
         raise ValueError("k must be positive")
-    left = _blocks(queries, "query_id", "qvec", ("qk", "qv"), block)
-    right = _blocks(filters.apply_filter(store, where), "id", "embedding", ("vk", "vv"), block)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qk, vk = batch.column("qk")[i].values, batch.column("vk")[i].values
-                q = batch.column("qv")[i].values.to_numpy().reshape(len(qk), -1)
-                v = batch.column("vv")[i].values.to_numpy().reshape(len(vk), -1)
-                if q.shape[1] != v.shape[1]:
-                    raise ValueError(f"queries have {q.shape[1]} dimensions, the store {v.shape[1]}")
-                order = np.argsort(vk.to_numpy(zero_copy_only=False), kind="stable")
-                got = scores(metric, q, v[order])
-                # equal vectors can differ in the last bits of a product; the rounded score decides, then the id
-                got = np.round(got, 12)
-                top = np.argsort(-got, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(got, top, axis=1)
-                keep = np.ones(value.shape, bool)
-                if above is not None:
-                    keep &= value > above
-                if min_score is not None:
-                    keep &= value >= min_score
-                row, _ = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([qk.take(pa.array(row)), vk.take(pa.array(order[top[keep]])), pa.array(value[keep])], ["query_id", "id", "score"])
-
-    pairs = left.crossJoin(right)
-    schema = queries.select("query_id").crossJoin(store.select("id")).schema.add("score", "double")
-    found = pairs.mapInArrow(best, schema)
+    kept = filters.apply_filter(store, where)
+    schema = T.StructType([*queries.select("query_id").schema, *store.select("id").schema]).add("score", "double")
+    asked = queries.where("qvec is not null").select("query_id", F.col("qvec").cast("array<double>").alias("qvec"))
+    small = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("qvec").cast("long")), F.lit(0)).alias("numbers")).first()
+    if small["numbers"] * 8 <= query_bytes and small["n"] * 8 <= query_bytes:
+        found = _search_held(kept, asked, schema, k, metric, min_score, above, block)
+    else:
+        found = _search_blocks(kept, asked, schema, k, metric, min_score, above, block)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -126,40 +194,3 @@ def size(store: DataFrame) -> DataFrame:
 def fail_at(df: DataFrame, key: str, rate: float) -> DataFrame:
     """Marks ``ok`` false for that share of the keys, by hash: a repeatable fault for tests of resilience."""
     return df.withColumn("ok", F.pmod(F.xxhash64(key), F.lit(10_000)) >= int(rate * 10_000))
-
-
-def lsh_search(store: DataFrame, queries: DataFrame, k: int = 5, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
-    """Approximate cosine search: vectors that share a bucket of signs in any of the tables are compared exactly.
-
-    Buckets meet by an equi-join, so neither side is broadcast; multi-probing looks
-    into the buckets that differ in one sign too.
-    """
-    # what the planes' number of dimensions is; one row
-    first = store.where("embedding is not null").select(F.size("embedding")).first()
-    if first is None:
-        return search(store, queries, k)
-    planes = np.random.RandomState(seed).normal(size=(tables * bits, int(first[0])))
-
-    def signs(probe: bool, key: str, vector: str) -> Any:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = 1 << np.arange(bits)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(vector).flatten().to_numpy().reshape(batch.num_rows, -1)
-                code = ((x @ planes.T) > 0).reshape(batch.num_rows, tables, bits) @ weights
-                codes = [code, *(code ^ w for w in weights)] if probe else [code]
-                bucket = np.stack(codes, axis=2) + (np.arange(tables) << bits)[None, :, None]
-                row = np.repeat(np.arange(batch.num_rows), bucket[0].size)
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(bucket.ravel())], [key, "bucket"])
-
-        return run
-
-    v = store.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    q = queries.where("qvec is not null").select("query_id", F.col("qvec").cast("array<double>").alias("qvec"))
-    vb = v.mapInArrow(signs(False, "id", "embedding"), v.select("id").schema.add("bucket", "long"))
-    qb = q.mapInArrow(signs(True, "query_id", "qvec"), q.select("query_id").schema.add("bucket", "long"))
-    pairs = qb.join(vb, "bucket").select("query_id", "id").distinct()
-    scored = pairs.join(q, "query_id").join(v, "id").select("query_id", "id", V.cosine(F.col("qvec"), F.col("embedding")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

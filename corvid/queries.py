@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvid.functions import filters as X
 from corvid.functions import ids, text
 from corvid.functions import vector as V
-from corvid.operators import batch, cache, chunking, conversation, embedding, metrics, prompting, rerank, retrieval
+from corvid.operators import batch, cache, chunking, conversation, embedding, index, metrics, prompting, rerank, retrieval
 from corvid.sources import extract, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,7 +120,8 @@ def topk_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("topk_approximate")
 def topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(retrieval.lsh_search(*_store(spark, sf_dir), k=10))
+    store, queries = _store(spark, sf_dir)
+    return _rounded(index.build(store.select("id", "embedding")).search(queries, k=10))
 
 
 # --- changes of a store ---
@@ -189,9 +190,9 @@ def filter_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WS = "regexp_replace(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
 _TAGS = "regexp_replace({0}, '<[^>]*>', '', 'g')"
 _PUNCT = "regexp_replace({0}, '[\\p{{P}}\\p{{S}}]', '', 'g')"
-_MARKS = "regexp_replace(translate({0}, '" + text._MARKED + "', '" + text._PLAIN + "'), '[\\x{{0300}}-\\x{{036F}}]', '', 'g')"
+_MARKS = "regexp_replace(translate({0}, 'ÇÀÁÂÃÈÉÊÌÍÎÒÓÔÕÙÚÛçàáâãèéêìíîòóôõùúû', 'CAAAAEEEIIIOOOOUUUcaaaaeeeiiioooouuu'), '[\\x{{0300}}-\\x{{036F}}]', '', 'g')"
 _NUMBERS = "regexp_replace({0}, '[0-9]+', '[NUMBER]', 'g')"
-_STOPS = "array_to_string(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in sorted(text.STOPWORDS)) + ")), ' ')"
+_STOPS = "array_to_string(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: NOT list_contains(string_split('o a os as um uma uns umas de do da dos das em no na nos nas por pelo pela pelos pelas para com ao à às e que se não', ' '), lower(w))), ' ')"
 
 
 def _cleaned(table: str, key: str, column: str, f: Callable[[Column], Column]) -> Query:
@@ -261,14 +262,15 @@ def _windows_sql(t: str, size: int, step: int) -> str:
     return f"list_transform(range(0, length({t}), {step}), lambda i: substr({t}, (i + 1)::INT, {size}))"
 
 
-_SECTIONS_SQL = _units_sql(f"regexp_replace(content, '{chunking.SECTION}', chr(1) || '\\0', 'g')")
+# a line of letters and blanks over a line of dashes or of equal signs, or one to six number signs, a blank and a title
+_SECTIONS_SQL = _units_sql("regexp_replace(content, '(?m)^(?:#{1,6}\\s.+$|[A-Z][A-Za-z\\s]+\\n[-=]+$)', chr(1) || '\\0', 'g')")
 _query("chunk_fixed", _chunk_sql(_DOCS, _windows_sql("content", 500, 450)))(_chunked("fixed", _plain))
 _query("chunk_sliding", _chunk_sql(_DOCS, _windows_sql("content", 500, 250)))(_chunked("sliding", _plain))
 _query("chunk_fallback", _chunk_sql(_DOCS, _windows_sql("content", 500, 500)))(_chunked("fallback", _plain))
 _query("chunk_sentence", _chunk_sql(_DOCS, _merge_sql(_units_sql("regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g')"))))(_chunked("sentence", _plain))
 _query("chunk_paragraph", _chunk_sql(_MD, _merge_sql(_units_sql("regexp_replace(content, '\\n\\s*\\n', chr(1), 'g')"))))(_chunked("paragraph", _markdown))
 _query("chunk_semantic_basic", ORACLE_SQL["chunk_paragraph"])(_chunked("semantic_basic", _markdown))
-_query("chunk_section", _chunk_sql(_MD, _merge_sql(_units_sql(f"regexp_replace(content, '{chunking.HEADER}', chr(1), 'g')"))))(_chunked("section", _markdown))
+_query("chunk_section", _chunk_sql(_MD, _merge_sql(_units_sql(f"regexp_replace(content, '(?m)^(?:#{{1,6}}\\s|<h[1-6]>).*$', chr(1), 'g')"))))(_chunked("section", _markdown))
 _nested_step = "CASE WHEN s[len(s)] <> '' AND length(s[len(s)]) + length(u[1]) > 500 THEN list_concat(s, [substr(u[1], 1, 50) || CASE WHEN u[1] <> '' THEN chr(10) || chr(10) ELSE '' END || u[1]]) ELSE list_concat(s[:len(s) - 1], [s[len(s)] || CASE WHEN s[len(s)] <> '' THEN chr(10) || chr(10) ELSE '' END || u[1]]) END"
 _query("chunk_hierarchical_basic", _chunk_sql(_MD, f"flatten(list_transform(list_filter(string_split(regexp_replace(content, '(?m)^#+\\s+', chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: list_filter(list_reduce(list_prepend([''], list_transform(string_split(x, chr(10) || chr(10)), lambda p: [p])), lambda s, u: {_nested_step}), lambda y: y <> '')))"))(_chunked("hierarchical_basic", _markdown))
 _query("chunk_hybrid", _chunk_sql(_MD, f"flatten(list_transform({_SECTIONS_SQL}, lambda x: CASE WHEN length(x) <= 500 THEN [x] ELSE {_windows_sql('x', 500, 250)} END))"))(_chunked("hybrid", _markdown))
@@ -286,18 +288,38 @@ def chunk_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.hierarchical(_markdown(spark, sf_dir)).select("parent_id", "chunk_index", "chunk_count", long("hierarchy_level"), long("section_index"), long("paragraph_index"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@_query("chunk_semantic", """
+@_query("chunk_semantic_vectors", """
 WITH e AS (SELECT label, vec_id, CASE WHEN list_cosine_similarity(lag(embedding::DOUBLE[]) OVER w, embedding::DOUBLE[]) < 0.1 THEN 1 ELSE 0 END AS bound FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
 i AS (SELECT label, vec_id, sum(bound) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS chunk_index FROM e)
 SELECT label, chunk_index, count(*) AS n_units, string_agg(vec_id::VARCHAR, chr(10) || chr(10) ORDER BY vec_id) AS content FROM i GROUP BY label, chunk_index""")
-def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_semantic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _t(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.col("vec_id").cast("string").alias("content"))
     return chunking.semantic(units, "label", "vec_id", "content", "embedding", chunking.Chunking(threshold=0.1))
 
 
+# paragraphs as token counts in 64 buckets; two neighbours without a common bucket have no row in near
+_SEMANTIC_SQL = f"""
+WITH d AS (SELECT id, content, {_units_sql("replace(content, chr(10) || chr(10), chr(1))")} AS u FROM {_MD}),
+p AS (SELECT id, i - 1 AS place, u[i] AS content FROM d, unnest(range(1, len(u) + 1)) AS t(i)),
+t AS (SELECT id, place, unnest(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM p),
+v AS (SELECT id, place, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY ALL),
+s AS (SELECT id, place, sqrt(sum(n * n)) AS size FROM v GROUP BY ALL),
+near AS (SELECT b.id, b.place, sum(a.n * b.n) / (any_value(sa.size) * any_value(sb.size)) AS cosine FROM v a JOIN v b ON b.id = a.id AND b.place = a.place + 1 AND b.bucket = a.bucket JOIN s sa ON sa.id = a.id AND sa.place = a.place JOIN s sb ON sb.id = b.id AND sb.place = b.place GROUP BY b.id, b.place),
+m AS (SELECT p.*, sum(CASE WHEN p.place > 0 AND coalesce(cosine, 0) < 0.301 THEN 1 ELSE 0 END) OVER (PARTITION BY p.id ORDER BY p.place) AS island FROM p LEFT JOIN near n ON n.id = p.id AND n.place = p.place),
+g AS (SELECT id, island, string_agg(content, chr(10) || chr(10) ORDER BY place) AS content FROM m GROUP BY id, island),
+c AS (SELECT id, CASE WHEN count(*) > 1 THEN flatten(list(CASE WHEN length(content) > 500 THEN {_windows_sql("content", 500, 500)} ELSE [content] END ORDER BY island)) END AS cut FROM g GROUP BY id),
+x AS (SELECT d.id, coalesce(c.cut, {_windows_sql("content", 500, 500)}) AS c FROM d LEFT JOIN c ON c.id = d.id)
+SELECT id AS parent_id, i - 1 AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS digest FROM x, unnest(range(1, len(c) + 1)) AS t(i)"""
+
+
+@_query("chunk_semantic", _SEMANTIC_SQL)
+def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(chunking.chunk(_markdown(spark, sf_dir), "semantic", chunking.Chunking(threshold=0.301)))
+
+
 # --- extraction ---
 _HTML = "html"
-for _p in (*extract.DROPPED, "<[^>]*>"):
+for _p in ("(?is)<script\\b[^>]*>.*?</script\\s*>", "(?is)<style\\b[^>]*>.*?</style\\s*>", "(?s)<!--.*?-->", "<[^>]*>"):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '', 'g')"
 _HTML = f"replace(replace(replace(replace({_HTML}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
@@ -554,9 +576,11 @@ def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.by_priority(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("o_orderpriority"), "o_orderkey")
 
 
-@_query("error_answers", "SELECT event_id, CASE event_type WHEN 'error' THEN 'The request failed.' END AS answer FROM events")
+@_query("error_answers", """SELECT o_orderkey, CASE o_custkey % 8 WHEN 0 THEN 'The question could not be embedded.' WHEN 1 THEN 'The documents could not be searched.' WHEN 2 THEN 'No answer could be generated.' WHEN 3 THEN 'The request took too long.'
+    WHEN 4 THEN 'There are too many requests now.' WHEN 5 THEN 'The service is not available now.' WHEN 6 THEN 'The request failed.' END AS answer FROM orders""")
 def error_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").select("event_id", batch.error_answer(F.when(F.col("event_type") == "error", F.col("event_type"))).alias("answer"))
+    kinds = F.array(*(F.lit(k) for k in ("embedding", "store", "generation", "timeout", "rate_limit", "breaker", "of another kind")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", batch.error_answer(F.get(kinds, (F.col("o_custkey") % 8).cast("int"))).alias("answer"))
 
 
 @_query("fallback_results", f"SELECT doc_id, coalesce(quality, 0)::BIGINT AS quality FROM {_LABELLED}")
@@ -570,6 +594,38 @@ def breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.breaker_states(e, "user_id", ["ts", "event_id"], "failed", failures=2)
 
 
+# --- levels of a cache: English documents in the first, those of even number in the second ---
+@_query("cache_levels", "SELECT md5(text) AS digest, min(CASE WHEN lang = 'en' THEN 0 WHEN doc_id % 2 = 0 THEN 1 END) AS level FROM documents GROUP BY text")
+def cache_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("key"), "lang", "doc_id", F.lit(None).cast("array<float>").alias("embedding"))
+    return cache.read_through([d.where("lang = 'en'"), d.where("doc_id % 2 = 0")], d).select(F.col("key").alias("digest"), "level")
+
+
+@_query("cache_promoted", "SELECT count(DISTINCT text) FILTER (WHERE lang = 'en' OR doc_id % 2 = 0) AS in_first, count(DISTINCT text) FILTER (WHERE doc_id % 2 = 0) AS in_second FROM documents")
+def cache_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select(cache.key_of(F.col("text")).alias("key"), "lang", "doc_id", F.lit(None).cast("array<float>").alias("embedding"))
+    first, second = cache.promote([d.where("lang = 'en'"), d.where("doc_id % 2 = 0")], d)
+    return first.agg(F.count_distinct("key").alias("in_first")).crossJoin(second.agg(F.count_distinct("key").alias("in_second")))
+
+
+@_query("process_items", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'order ' || o_orderkey END AS result, o_orderkey % 7 <> 0 AS ok, CASE WHEN o_orderkey % 7 = 0 THEN 'generation' END AS error_type, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS attempts FROM orders")
+def process_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def call(key: int) -> str:
+        if key % 7 == 0:
+            raise batch.GenerationError("a seventh order")
+        return f"order {key}"
+
+    done = batch.process_items(_t(spark, sf_dir, "orders").select("o_orderkey"), call, "o_orderkey", size=200, retry=batch.Retry(2, 0.0), concurrency=8)
+    return done.select("o_orderkey", "result", "ok", "error_type", F.col("attempts").cast("int").alias("attempts"))
+
+
+@_query("url_documents", f"""SELECT url AS id, CASE page_id % 3 WHEN 0 THEN md5(regexp_replace(regexp_replace({_HTML}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) WHEN 1 THEN md5(html) END AS digest FROM pages""")
+def url_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages routed by MIME type: a third each as HTML, as plain text and as PDF, which has no reader."""
+    p = _t(spark, sf_dir, "pages").withColumn("mime", F.get(F.array(F.lit("text/html; charset=utf-8"), F.lit("text/plain"), F.lit("application/pdf")), (F.col("page_id") % 3).cast("int")))
+    return files.page_documents(p.select("url", "mime", F.col("html").alias("body"), F.lit(None).cast("string").alias("error"))).select("id", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 # --- all together ---
 @_query("ask_end_to_end", f"""SELECT query_id, '[detailed and creative] From the context: ' || CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS answer, n_docs, avg_score FROM (
     SELECT p.query_id, n_docs, a.avg_score, array_to_string(list_transform(list_filter(string_split(prompt, chr(10)), lambda x: length(x) > 30)[:2], lambda x: trim(x)), ' ') AS t FROM ({_PROMPT_SQL}) p JOIN (SELECT query_id, round(avg(score), 4) AS avg_score FROM {_HITS} GROUP BY query_id) a ON a.query_id = p.query_id)""")

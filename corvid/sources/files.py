@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from corvid.sources import extract as X
 
 
-def _documents(files: DataFrame, extensions: Sequence[str] | None) -> DataFrame:
+def _documents(files: DataFrame, extensions: Sequence[str] | None, root: str | None = None) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     if extensions:
         low = F.lower(name)
@@ -22,17 +24,30 @@ def _documents(files: DataFrame, extensions: Sequence[str] | None) -> DataFrame:
             wanted = wanted | low.endswith("." + e.lower().lstrip("."))
         files = files.where(wanted)
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    meta = F.create_map(
+    entries = [
         F.lit("source"), F.lit("file"), F.lit("filename"), name, F.lit("last_modified"), F.unix_millis("modificationTime").cast("string"), F.lit("size"), F.col("length").cast("string"), F.lit("filepath"), F.col("path"), F.lit("directory"), folder,
-    )
+    ]
+    if root is not None:
+        # paths come with a scheme, which the root need not have
+        top = _plain_path(root).rstrip("/") + "/"
+        plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*(?=/))?/*", "/")
+        entries += [F.lit("relative_path"), F.when(plain.startswith(top), F.substr(plain, F.lit(len(top) + 1))).otherwise(name)]
+    meta = F.create_map(*entries)
     rows = files.select(name.alias("name"), F.col("content").cast("string").alias("text"), meta.alias("metadata"))
     return X.extract(rows)
 
 
+def _plain_path(path: str) -> str:
+    """Absolute and without scheme and host."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        return "/" + re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*(?=/))?/*", "", path)
+    return os.path.abspath(path)
+
+
 def read_folder(spark: SparkSession, path: str, recursive: bool = True, extensions: Sequence[str] | None = None) -> DataFrame:
     """``id, content, format, metadata`` of the files below a folder, read in parallel."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return _documents(files, extensions)
+    return _documents(files, extensions, path)
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +57,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 def stream_folder(spark: SparkSession, path: str, recursive: bool = True, extensions: Sequence[str] | None = None) -> DataFrame:
     """The same as a stream of the files that come in."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return _documents(files, extensions)
+    return _documents(files, extensions, path)
 
 
 def from_values(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
@@ -73,6 +88,24 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[str, str]]) -> DataFrame:
     return urls.select("url").mapInPandas(run, "url string, mime string, body string, error string")
 
 
+def fetch_documents(urls: DataFrame, get: Callable[[str], tuple[str, str]]) -> DataFrame:
+    """``id, content, metadata, error`` of the pages behind ``url``, each extracted by its MIME type.
+
+    A page that can't be had has null content and the error; a type without a reader
+    (PDF) has null content.
+    """
+    return page_documents(fetch(urls, get))
+
+
+def page_documents(got: DataFrame) -> DataFrame:
+    """The same from ``url, mime, body, error``."""
+    kind = X.format_of_mime(F.col("mime"))
+    base = F.create_map(F.lit("source"), F.col("url"), F.lit("content_type"), F.coalesce("mime", F.lit("")))
+    meta = F.when(kind == "html", X.merge_metadata(base, X.html_metadata(F.col("body")))).otherwise(base)
+    content = F.when(kind == "html", X.html_text(F.col("body"))).when(kind == "text", F.col("body"))
+    return got.select(F.col("url").alias("id"), F.when(F.col("error").isNull(), content).alias("content"), meta.alias("metadata"), "error")
+
+
 def read_csv_products(spark: SparkSession, path: str) -> DataFrame:
     """``id, content, metadata`` of a product file with a header; a missing price is 0."""
     schema = "product_id string, name string, description string, category string, price double"

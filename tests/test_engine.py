@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
 from corvid.operators import chunking
+from corvid.operators.batch import EmbeddingError, GenerationError, Retry
+from corvid.operators.embedding import HashingEmbedder, embed
+from corvid.operators.prompting import GenerationOptions
 from corvid.plans import sqlapi
 from corvid.plans.config import QueryOptions, Settings
-from corvid.plans.engine import Engine
+from corvid.plans.engine import Engine, robust, standard
+from corvid.plans.log import AllOf, console, to_file
 from corvid.sources import extract, files
+from corvid.sources.providers import FeatureEmbedder, LanguageModel, ListEmbedder, blocks_model, search_collection
 from corvid.streaming.indexing import index_folder
 
 MD = "---\ntitle: A title\nauthor: Someone\ndate: 2024-01-02\nempty:\n---\n# Head\n\nBody text."
@@ -140,6 +147,146 @@ def test_engine_indexes_folders_and_pages(spark, folder):
     assert "http://a/x" in {r["parent_id"] for r in e.store.collect()}
 
 
+def test_each_text_is_embedded_once(spark):
+    """Ten texts and three questions are thirteen calls, however often results are used."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        calls.add(len(texts))
+        return HashingEmbedder(16)(texts)
+
+    e = Engine(spark, embedder=embedder, dim=16)
+    docs = spark.createDataFrame([(str(i), f"text number {i} of a few") for i in range(10)], "id string, content string")
+    e.index(docs).collect()
+    e.store.count()
+    answers = e.query(spark.createDataFrame([(i, f"which text is {i}?") for i in range(3)], "query_id long, question string"))
+    answers.collect()
+    assert answers.count() == 3 and calls.value == 13
+    assert {r["question_dimensions"] for r in answers.collect()} == {16}
+
+
+def test_engine_compacts_and_forgets(spark):
+    from corvid import storage
+
+    e = Engine(spark)
+    for i in range(20):
+        e.index_text([(str(i), f"text {i}"), ("same", f"version {i}")])
+    rows = {r["parent_id"]: r["content"] for r in e.store.collect()}
+    assert len(rows) == 21 and rows["same"] == "version 19"
+    assert e.store._jdf.queryExecution().toString().count("Relation") < 60
+    e.index_text([("same", None)])
+    assert e.store.where("parent_id = 'same'").count() == 0
+    e.forget()
+    assert not storage._MADE
+
+
+def test_engine_indexes_urls(spark):
+    def get(url):
+        if "bad" in url:
+            raise OSError("no route")
+        return {"a": ("text/html", HTML), "b": ("text/plain", "Plain <b>text</b>"), "c": ("application/pdf", "%PDF")}[url[-1]]
+
+    e = Engine(spark)
+    got = {r["id"]: r for r in e.index_urls(spark.createDataFrame([(f"http://x/{u}",) for u in ("a", "b", "c", "bad")], "url string"), get).collect()}
+    assert {k[-1]: (r["ok"], r["error"] is None) for k, r in got.items()} == {"a": (True, True), "b": (True, True), "c": (False, True), "d": (False, False)}
+    rows = {r["parent_id"]: r for r in e.store.collect()}
+    assert rows["http://x/a"]["content"] == "PageHeadBody & strong" and rows["http://x/a"]["metadata"]["author"] == "Someone" and rows["http://x/b"]["content"] == "Plain <b>text</b>"
+
+
+def test_relative_paths(spark, folder):
+    got = {r["id"]: r["metadata"]["relative_path"] for root in (folder, f"file:{folder}", f"file://{folder}/") for r in files.read_folder(spark, root).collect()}
+    assert got == {"a.md": "a.md", "b.html": "b.html", "c.TXT": "sub/c.TXT", "d.pdf": "sub/d.pdf"}
+
+
+def test_engine_in_threads_and_factories(spark, engine):
+    assert "context" in engine.submit(engine.ask, "Which language is it?").result(120)
+    assert not standard(spark).settings.retrieval.reranking and robust(spark).settings.retrieval.reranking
+
+
+def test_semantic_strategy_embeds_paragraphs(spark):
+    e = Engine(spark, Settings().with_indexing(strategy="semantic"))
+    e.index_text([("d", "cats purr and cats sleep\n\ncats purr and cats sleep too\n\nships sail far\n\nships sail far too")])
+    assert e.store.count() == 2
+
+
+def test_resilient_engine_takes_its_second_ways(spark, tmp_path):
+    def down(*_):
+        raise ConnectionError("down")
+
+    questions = spark.createDataFrame([(1, "Which language is it?")], "query_id long, question string")
+    docs = spark.createDataFrame(TEXTS, "id string, content string")
+    path, shown = str(tmp_path / "log"), io.StringIO()
+    e = robust(spark, embedder=down, second_embedder=HashingEmbedder(64), provider=down, second_provider=lambda prompts, options: ["second"] * len(prompts), log=AllOf(to_file(path), console("error", shown)))
+    assert e.index(docs).where("ok").count() == 3
+    r = e.query(questions).first()
+    assert r["ok"] and r["answer"] == "second" and r["n_docs"] > 0 and r["reranked"]
+    assert e.measures.counts["embedding_failures"] == 1 and e.measures.counts["generation_failures"] == 1 and e.measures.counts["questions"] == 1
+    lines = open(path).read()
+    assert "WARNING embedding failed" in lines and "WARNING generation failed" in lines and not shown.getvalue()
+    alone = robust(spark, embedder=down, log=console("error", shown))
+    assert not alone.index(docs).where("ok").count() and "ERROR embedding failed" in shown.getvalue()
+    r = alone.query(questions).first()
+    assert not r["ok"] and r["answer"] == "The documents could not be searched."
+    backed = robust(spark, embedder=HashingEmbedder(64), second_store=e.store)
+    assert backed.query(questions).first()["n_docs"] > 0
+
+
+# --- providers ---
+def test_embedding_services(spark):
+    sent = []
+
+    def list_service(path, payload):
+        sent.append(payload)
+        return {"data": [{"index": i, "embedding": [float(i + 1), 0.0]} for i in reversed(range(len(payload["input"])))]}
+
+    assert ListEmbedder(list_service, "m", 2)(["a", "b"]) == [[1.0, 0.0], [1.0, 0.0]] and sent[0] == {"model": "m", "input": ["a", "b"]}
+    sizes = []
+
+    def feature_service(path, payload):
+        sizes.append(len(payload["inputs"]))
+        return [[0.0, 2.0]] * len(payload["inputs"])
+
+    assert FeatureEmbedder(feature_service, "m", 2)(["x"] * 19) == [[0.0, 1.0]] * 19 and sizes == [8, 8, 3]
+    with pytest.raises(EmbeddingError, match="gave"):
+        FeatureEmbedder(feature_service, "m", 3)(["x"])
+    with pytest.raises(EmbeddingError, match="without vectors"):
+        ListEmbedder(lambda *_: {}, "m", 2)(["x"])
+    df = spark.createDataFrame([(1, "a"), (2, " ")], "id long, content string")
+    service = FeatureEmbedder(lambda path, payload: [[3.0, 4.0]] * len(payload["inputs"]), "m", 2)
+    assert {r["id"]: [round(x, 3) for x in r["embedding"]] for r in embed(df, service, 2).collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+
+
+def test_language_models():
+    tries = []
+
+    def service(path, payload):
+        tries.append((path, payload))
+        if len(tries) == 1:
+            raise OSError("busy")
+        return {"choices": [{"message": {"content": "chat"}}]} if "completions" in path else {"content": [{"type": "text", "text": "in "}, {"type": "other"}, {"type": "text", "text": "blocks"}]}
+
+    o = GenerationOptions(max_tokens=5, stop=("x",))
+    fast = {"per_minute": None, "retry": Retry(3, 0.0)}
+    assert LanguageModel(service, "m", system="s", **fast)(["p"], o) == ["chat"] and len(tries) == 2
+    assert tries[1][1]["messages"] == [{"role": "system", "content": "s"}, {"role": "user", "content": "p"}] and tries[1][1]["stop"] == ["x"] and tries[1][1]["max_tokens"] == 5
+    assert blocks_model(service, "m", system="s", **fast)(["p"], o) == ["in blocks"] and tries[2][0] == "/v1/messages" and tries[2][1]["system"] == "s"
+    with pytest.raises(GenerationError, match="without text"):
+        LanguageModel(lambda *_: {"choices": []}, "m", **fast)(["p"], o)
+
+
+def test_search_of_a_collection(spark):
+    def service(path, payload):
+        if payload["query_embeddings"][0][0] > 5:
+            raise OSError("no route")
+        n = len(payload["query_embeddings"])
+        return {"ids": [["a", "b"]] * n, "distances": [[0.5, 0.25]] * n, "documents": [["A", "B"]] * n, "metadatas": [[None, {"k": payload["where"]["t"]}]] * n}
+
+    q = spark.createDataFrame([(1, [1.0]), (2, [9.0]), (3, None)], "query_id long, qvec array<double>").coalesce(1)
+    rows = sorted(map(tuple, search_collection(q, service, "docs", 2, {"t": "x"}, size=1, retry=Retry(1)).collect()), key=str)
+    assert rows[:2] == [(1, 1, "b", 0.75, "B", '{"k": "x"}', None), (1, 2, "a", 0.5, "A", "{}", None)]
+    assert rows[2][0] == 2 and rows[2][2] is None and "no route" in rows[2][6] and len(rows) == 3
+
+
 def test_failed_provider_is_a_row(spark, engine):
     def down(prompts, options):
         raise ConnectionError("down")

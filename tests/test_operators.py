@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corvid.operators import batch, cache, chunking, conversation, embedding, metrics, prompting, rerank, retrieval
+from corvid.operators import batch, cache, chunking, conversation, embedding, index, metrics, prompting, rerank, retrieval
 
 
 def chunks(spark, content, strategy, **options):
@@ -104,8 +104,75 @@ def test_blocks_do_not_change_results(spark):
     df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "id long, embedding array<double>").repartition(3)
     q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"))
     for metric in ("cosine", "dot", "euclidean", "manhattan", "angular", "rbf"):
-        got = [{(r[0], r[1], r[2]) for r in retrieval.search(df, q, 4, metric, above=None, block=b).collect()} for b in (7, 4096)]
-        assert got[0] == got[1] and len(got[0]) == 240
+        got = [{(r[0], r[1], r[2]) for r in retrieval.search(df, q, 4, metric, above=None, block=b, query_bytes=n).collect()} for b in (7, 4096) for n in (0, 1 << 20)]
+        assert all(g == got[0] for g in got) and len(got[0]) == 240
+
+
+def test_ties_go_to_the_least_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "query_id long, qvec array<double>")
+    for n in (0, 1 << 20):
+        assert [tuple(r) for r in retrieval.search(df, q, 3, block=4, query_bytes=n).orderBy("rank").collect()] == [(7, 1, 0, 1.0), (7, 2, 1, 1.0), (7, 3, 2, 1.0)]
+
+
+# --- the approximate index ---
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def recall_of(held, vectors, k=10):
+    """Every twentieth row against all: the share of the true nearest that is found, and the queries."""
+    q = vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"))
+    true = {(r["query_id"], r["id"]) for r in retrieval.search(vectors, q, k).collect()}
+    found = {(r["query_id"], r["id"]) for r in held.search(q, k).collect()}
+    assert held.table.count() == vectors.count()
+    return len(true & found) / len(true), q
+
+
+def test_index_recall_over_a_table(vectors):
+    """These vectors have hardly any clusters, so many cells must be looked into; the build measures how many."""
+    held = index.build(vectors)
+    assert recall_of(held, vectors)[0] >= 0.9 and held.probes < len(held.centres)
+
+
+def test_index_prunes_where_vectors_have_clusters(spark):
+    rng = np.random.RandomState(4)
+    centres = rng.normal(size=(150, 16))
+    x = centres[rng.randint(0, 150, 12_000)] + 0.25 * rng.normal(size=(12_000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(4)
+    held = index.build(df, sample=4000)
+    recall, q = recall_of(held, df)
+    assert recall >= 0.9 and held.compared(q) < 0.1
+
+
+def test_index_like_a_store(spark, tmp_path):
+    """Even rows are of one topic and near one axis; the nearest of a row is itself; filters, changes and a stored index."""
+    n = 40
+    rows = [(f"doc{i}", [i / n] + [0.5 + i % 3 * 0.1 if i % 2 == 0 else 0.5 - i % 5 * 0.1] * 7, "technology" if i % 2 == 0 else "science") for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>, category string")
+    held = index.build(df, cells=6)
+    q = spark.createDataFrame([(3, rows[3][1][:1] + [x + 0.001 for x in rows[3][1][1:]])], "query_id long, qvec array<double>")
+    assert held.search(q, 1).first()["score"] > 0.9
+    every = len(held.centres)
+    exact = [tuple(r) for r in retrieval.search(df, q, 5, where={"category": "technology"}).orderBy("rank").collect()]
+    assert [tuple(r) for r in held.search(q, 5, where={"category": "technology"}, probes=every).orderBy("rank").collect()] == exact and len(exact) == 5
+    more = held.add(spark.createDataFrame([("new", q.first()["qvec"], "science"), ("doc3", [9.0] + [0.0] * 7, "science")], df.schema))
+    assert more.search(q, 1).first()["id"] == "new" and more.table.count() == n + 1
+    more.save(str(tmp_path / "index"))
+    again = index.CellIndex.load(spark, str(tmp_path / "index"))
+    assert again.search(q, 1).first()["id"] == "new" and again.probes == more.probes
+    assert again.delete(spark.createDataFrame([("new",)], "id string")).search(q, 1).first()["id"] != "new"
+    none = index.build(df.where("false"))
+    assert none.search(q).count() == 0
+
+
+def test_index_deals_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_ROWS", 8)
+    df = spark.range(100).select(F.concat(F.lit("d"), "id").alias("id"), F.array(F.lit(1.0), F.col("id") / 1000).alias("embedding"))
+    q = spark.createDataFrame([(1, [1.0, 0.05])], "query_id long, qvec array<double>")
+    got = index.build(df, cells=1).search(q, 3).collect()
+    assert [r["id"] for r in got] == [r["id"] for r in retrieval.search(df, q, 3).orderBy("rank").collect()]
 
 
 def test_changes(spark, store):
@@ -225,6 +292,76 @@ def test_cache(spark):
     assert {r["key"] for r in cache.retained(seen, 3).collect()} == {"2", "3", "4"}
 
 
+def test_lru_and_layers():
+    lru = cache.LruCache(2)
+    lru.put_all({"a": 1, "b": 2})
+    assert lru.get("a") == 1
+    lru.put("c", 3)
+    assert "b" not in lru and lru.get_all(["a", "b", "c"]) == {"a": 1, "c": 3}
+    assert (lru.stats.hits, lru.stats.misses, lru.stats.hit_rate) == (3, 1, 0.75)
+    small, large = cache.LruCache(1), cache.LruCache(10)
+    both = cache.LayeredCache(small, large)
+    both.put("x", 1)
+    both.put("y", 2)
+    assert "x" not in small and both.get("x") == 1 and "x" in small and both.get("z") is None
+    assert (both.stats.hits, both.stats.misses) == (1, 1)
+    both.clear()
+    assert len(small) == len(large) == 0 and both.stats.hit_rate == 0.0
+    with pytest.raises(ValueError, match="an entry"):
+        cache.LruCache(0)
+
+
+def test_table_cache_embeds_each_text_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        calls.add(len(texts))
+        return [[1.0, 0.0]] * len(texts)
+
+    held = cache.TableCache(spark, str(tmp_path / "cache"))
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, content string")
+    for _ in range(2):
+        out = held.embedded(texts, embedder, 2)
+        assert out.count() == 3 and out.where("embedding is null").count() == 0
+    assert calls.value == 2 and (held.stats.hits, held.stats.misses) == (2, 2)
+    held.clear()
+    assert held.table().count() == 0
+
+
+def test_promotion(spark):
+    level = lambda keys: spark.createDataFrame([(k, [1.0]) for k in keys], "key string, embedding array<float>")
+    first, second = cache.promote([level("ab"), level("bc")], spark.createDataFrame([("c",), ("b",), ("z",)], "key string"))
+    assert sorted(r["key"] for r in first.collect()) == ["a", "b", "c"] and sorted(r["key"] for r in second.collect()) == ["b", "c"]
+
+
+def test_semantic_chunks(spark):
+    cats, ships = "cats purr and cats sleep", "ships sail and ships sink"
+    text = "\n\n".join([cats, cats + " too", ships, " ", ships + " too"])
+    assert chunks(spark, text, "semantic") == ["\n\n".join([cats, cats + " too"]), "\n\n".join([ships, ships + " too"])]
+    assert chunks(spark, text, "semantic", window=20)[0] == cats[:20]
+    # no bound, or one paragraph: windows of the whole text
+    assert chunks(spark, "\n\n".join([cats, cats]), "semantic", window=30) == [("\n\n".join([cats, cats]))[i : i + 30] for i in (0, 30)]
+    assert chunks(spark, cats, "semantic") == [cats] and chunks(spark, "", "semantic") == []
+    seen = chunking.chunk(spark.createDataFrame([(1, text, {"a": "b"})], "id long, content string, metadata map<string,string>"), "semantic", embed=lambda u: u.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))).collect()
+    assert [r["content"] for r in seen] == [text] and seen[0]["metadata"] == {"a": "b"}
+
+
+def test_merging_units_is_the_plain_fold(spark):
+    """The fold over lengths gives what joining texts one by one gives."""
+    rng = np.random.RandomState(1)
+    for size, overlap in ((9, 2), (9, 0), (30, 12), (5, 4)):
+        units = ["".join(rng.choice(list("abc"), rng.randint(1, 12))) for _ in range(40)]
+        done, now = [], ""
+        for u in units:
+            if now and len(now) + len(u) > size:
+                done.append(now)
+                now = now[-overlap:] + "\n\n" if overlap else ""
+            now = now + ("\n\n" if now else "") + u
+        done.append(now)
+        df = spark.createDataFrame([(units,), ([],)], "u array<string>")
+        assert [r[0] for r in df.select(chunking.merge_units(F.col("u"), size, overlap)).collect()] == [done, []]
+
+
 def test_hashing_embedding_forms_agree(spark):
     df = spark.createDataFrame([(1, "Spark joins tables. Spark!"), (2, "")], "id long, content string")
     dense = {r["id"]: r["v"] for r in df.select("id", embedding.hashing_embedding(F.col("content"), 16).alias("v")).collect()}
@@ -252,6 +389,99 @@ def test_process(spark):
     assert {r["error_type"] for r in rows} == {None, "embedding"}
 
 
+def test_process_in_time(spark):
+    import time
+
+    def slow(values):
+        time.sleep(2.0 if "1" in values else 0.0)
+        return values
+
+    df = spark.createDataFrame([(str(i),) for i in range(3)], "v string").coalesce(1)
+    rows = {r["v"]: r for r in batch.process(df, slow, "v", size=1, retry=batch.Retry(1), timeout=0.5).collect()}
+    assert rows["1"]["error_type"] == "timeout" and not rows["1"]["ok"] and rows["0"]["ok"] and rows["2"]["ok"]
+    with pytest.raises(batch.TimedOut):
+        batch.in_time(lambda: time.sleep(1), 0.05)
+
+
+def test_items_have_outcomes_of_their_own(spark):
+    def f(value):
+        if value == "5":
+            raise batch.EmbeddingError("bad")
+        return value * 2
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(12)], "id long, v string").repartition(2)
+    for concurrency in (1, 4, batch.AdaptiveConcurrency()):
+        rows = {r["id"]: r for r in batch.process_items(df, f, "v", size=5, retry=batch.Retry(2, 0.0), concurrency=concurrency).collect()}
+        assert len(rows) == 12 and all(r["ok"] and r["result"] == r["v"] * 2 and r["attempts"] == 1 for i, r in rows.items() if i != 5)
+        assert (rows[5]["ok"], rows[5]["error_type"], rows[5]["attempts"], rows[5]["result"]) == (False, "embedding", 2, None)
+
+
+def test_only_failed_rows_run_again(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def f(value):
+        calls.add(1)
+        if value == "x":
+            raise ValueError("x")
+        return value
+
+    df = spark.createDataFrame([("x",), ("y",), ("z",)], "v string").coalesce(1)
+    done = batch.retry_failed(batch.process_items(df, f, "v", retry=batch.Retry(1)), lambda d: batch.process_items(d, lambda v: v + "!", "v", retry=batch.Retry(1)))
+    assert sorted((r["v"], r["result"], r["ok"]) for r in done.collect()) == [("x", "x!", True), ("y", "y", True), ("z", "z", True)] and calls.value == 3
+
+
+def test_concurrency_adapts():
+    c = batch.AdaptiveConcurrency(4, 1, 16)
+    assert [c.record(10, 0), c.record(10, 0), c.record(5, 5), c.record(0, 10)] == [6, 9, 9, 5]
+    for _ in range(9):
+        c.record(0, 10)
+    assert c.now == 1
+    for _ in range(20):
+        c.record(10, 0)
+    assert c.now == 16
+    with pytest.raises(ValueError, match="least"):
+        batch.AdaptiveConcurrency(0)
+
+
+def test_a_rate_is_the_jobs(spark):
+    """Two tasks share a rate: 4 calls at 240 a minute take them 2 x 0.5 s and not 2 x 0.25 s."""
+    import time
+
+    df = spark.createDataFrame([(str(i),) for i in range(4)], "v string")
+    began = time.monotonic()
+    assert batch.process(df, lambda values: values, "v", size=1, per_minute=240, tasks=1).count() == 4
+    assert time.monotonic() - began >= 0.75
+    assert batch.process(df, lambda values: values, "v", per_minute=6000, tasks=3).rdd.getNumPartitions() == 3
+
+
+def test_breaker_states_are_the_plain_replay(spark):
+    """Against a replay written out: two failures open, a minute later one more failure opens again and two successes close."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    got = {r["user_id"]: (r["state"], r["opened"], r["skipped"]) for r in batch.breaker_states(events.withColumn("failed", F.col("event_type") == "error"), "user_id", ["ts", "event_id"], "failed", failures=2).collect()}
+    want = {}
+    rows = sorted(events.select("user_id", "ts", "event_id", "event_type").collect(), key=lambda r: (r["user_id"], r["ts"], r["event_id"]))
+    for user in {r["user_id"] for r in rows}:
+        state, bad, good, since, opened, skipped = "closed", 0, 0, None, 0, 0
+        for r in (r for r in rows if r["user_id"] == user):
+            if state == "open":
+                if (r["ts"] - since).total_seconds() < 60:
+                    skipped += 1
+                    continue
+                state, good = "half_open", 0
+            if r["event_type"] == "error":
+                bad += 1
+                if state == "half_open" or bad >= 2:
+                    state, since, opened = "open", r["ts"], opened + 1
+            elif state == "half_open":
+                good += 1
+                if good == 2:
+                    state, bad = "closed", 0
+            else:
+                bad = 0
+        want[user] = (state, opened, skipped)
+    assert got == want and len({s for s, *_ in want.values()}) > 1
+
+
 def test_retry_fallback_limit():
     calls = []
 
