@@ -7,15 +7,20 @@ one of the whole raw corpus.  A document's score is the sum over its n-grams of
 ``log p_target - log p_raw``, divided by the number of its n-grams, and the
 document is kept when the score reaches the threshold.
 
-Two passes over the text, no shuffle of it: the counting pass leaves at most
-``2**bits`` rows a task.  The trusted ids are broadcast while they are few; past
-``broadcast_rows`` the flag comes by an ordinary join.
-
-Defined results: a null, empty or blank text has no n-grams, a null score and is
-not kept.  Repeated rows are scored each.  Rows with a null doc_id are scored but
-never trusted.  An empty target gives every document the score 0 under equal
-multinomials.  Only ``doc_id`` and ``text`` are read; other columns, of any name,
-are ignored.
+Two passes over the text: counting leaves at most ``2**bits`` rows a task, scoring is a
+map.  Which texts are trusted is told without moving them: a Bloom filter of bounded size
+holds the trusted ids, a second one those ids of the corpus that the first lets pass
+though they aren't trusted (found by a join of ids alone).  A text that passes the first
+and not the second is trusted for sure; only the few that pass both are joined with the
+ids.  Where the filters are full more texts take part in that join; the counts are the
+same.
+
+Defined results: a null, empty or blank text has no n-grams, a null score and is not
+kept.  Very long texts are cut into words piece by piece and count whole.  A score equal
+to the threshold is kept.  Repeated rows are scored each.  Rows with a null doc_id are
+scored but never trusted; other doc_ids must be integers.  An empty target gives every
+document the score 0 under equal multinomials; an empty table gives no rows.  Only
+``doc_id`` and ``text`` are read; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvid.llm import bloom
 from corvid.llm import textscan as ts
+from corvid.storage import cut, scratch
 
 BITS = 16
 #: Mean log-ratio at which a document is kept.
@@ -36,7 +43,6 @@ THRESHOLD = -0.1
 ALPHA = 1.0
 #: Log-ratios are held as integers of this fraction, so that sums are exact in any order.
 UNIT = 1 << 20
-BROADCAST_ROWS = 4_000_000
 _ONE, _TWO, _NEXT = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
@@ -90,21 +96,28 @@ def _scorer(weights: Any, bits: int, threshold: float) -> Any:
     return score
 
 
-def trusted_flag(docs: DataFrame, trusted: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``doc_id, text, trusted`` of all documents; the ids are broadcast only if they are at most broadcast_rows."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("trusted_id")).where("trusted_id is not null").distinct()
-    small = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("trusted_id"), "left")
-        .select("doc_id", "text", F.col("trusted_id").isNotNull().alias("trusted"))
-    )
+def trusted_texts(docs: DataFrame, trusted: DataFrame, filter_bytes: int = bloom.MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``text, trusted`` of all documents, with true only where both filters agree, and ``text, trusted`` of the trusted ones that they leave open."""
+    spark = docs.sparkSession
+    ids = cut(trusted.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct(), "trusted-ids")
+    own = F.col("doc_id").cast("long")
+    code = F.when(own.isNotNull(), F.xxhash64(own))
+    in_first = bloom.probe(bloom.share(spark, ids.select(F.xxhash64("id")), ids.count(), max_bytes=filter_bytes), code)
+    false = cut(docs.where(in_first).select(own.alias("id")).distinct().join(ids, "id", "left_anti"), "false-ids")
+    in_second = bloom.probe(bloom.share(spark, false.select(F.xxhash64("id")), false.count(), max_bytes=filter_bytes), code)
+    sure = docs.select("text", (in_first & ~in_second).alias("trusted"))
+    left_open = docs.select(own.alias("id"), "text", "doc_id").where(in_first & in_second).join(ids, "id", "left_semi").select("text", F.lit(True).alias("trusted"))
+    return sure, left_open
 
 
-def fit(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = ALPHA, broadcast_rows: int = BROADCAST_ROWS) -> np.ndarray:
+def fit(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = ALPHA, filter_bytes: int = bloom.MAX_BYTES) -> np.ndarray:
     """Log-ratio of each bucket in units of 1 / UNIT, from the counts over all documents."""
-    flagged = trusted_flag(docs, trusted, broadcast_rows).select("text", "trusted")
-    rows = flagged.mapInArrow(_counter(bits), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counted = "bucket int, raw long, target long"
+    with scratch(docs.sparkSession):
+        sure, left_open = trusted_texts(docs, trusted, filter_bytes)
+        # the open ones are in the first table too: here they count for the target only
+        every = sure.mapInArrow(_counter(bits), counted).unionAll(left_open.mapInArrow(_counter(bits), counted).withColumn("raw", F.lit(0).cast("long")))
+        rows = every.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     counts = np.zeros((2, 1 << bits))
     counts[0, rows.bucket], counts[1, rows.bucket] = rows.raw, rows.target
     if not counts[1].sum():
@@ -113,9 +126,9 @@ def fit(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = AL
     return np.rint(np.log(p[1] / p[0]) * UNIT).astype(np.int64)
 
 
-def quality(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = ALPHA, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, bits: int = BITS, alpha: float = ALPHA, threshold: float = THRESHOLD, filter_bytes: int = bloom.MAX_BYTES) -> DataFrame:
     """``doc_id, n_grams, llr, keep`` of every document."""
-    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted, bits, alpha, broadcast_rows))
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted, bits, alpha, filter_bytes))
     schema = docs.select("doc_id").schema.add("n_grams", "long").add("llr", "double").add("keep", "boolean")
     return docs.select("doc_id", "text").mapInArrow(_scorer(weights, bits, threshold), schema)
 
