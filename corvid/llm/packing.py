@@ -12,16 +12,21 @@ has at most ``capacity`` entries at any input size: a bin's pattern is repeated
 for as long as the lengths it takes last, and each repetition ends with a length
 running short.  Distributed, every piece then gets its rank among those of its
 length (counts per length and hash shard give each shard's first rank, a window
-ranks within the shard), and the rank gives its bin and place by binary search in
+ranks within the shard; a length has a shard for every ``SHARD_ROWS`` of its pieces, so
+no task ranks more at any size), and the rank gives its bin and place by binary search in
 the plan.  Only (doc_id, piece, length) move between executors, never texts.
 
 Tokens are white-space separated words by default; any integer column can be the
 length instead.  The result has one row a piece: ``bin_id, slot, doc_id, piece,
 start, n_tokens``, where the piece is n_tokens tokens of the document from start.
+:func:`pack_tokens` packs the ids that :mod:`corvid.llm.bpe` gives and returns each
+piece's ids with its place, so a bin's rows in the order of slot are a training sequence.
 
 Defined results: documents of length 0 (null, empty or blank texts, null or
-negative lengths) take no place and give no row.  Repeated rows are packed each.
-Rows with a null doc_id are packed.  An empty table gives no rows.
+negative lengths) take no place and give no row.  Very long documents become as many
+pieces as they fill.  Documents of one length are placed in the order of a hash and then
+of doc_id; repeated rows are packed each.  Rows with a null doc_id are packed.  An empty
+table gives no rows.  Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +39,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corvid.llm import bpe
 from corvid.llm import textscan as ts
 from corvid.storage import cut
 
 CAPACITY = 2048
-RANK_SHARDS = 64
+#: Pieces of one length that a task ranks, on the mean.
+SHARD_ROWS = 1 << 19
 #: word count: starts of runs of bytes that aren't ASCII white space
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -145,9 +153,8 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[dict[int, np.ndarray],
     return {n: np.array(r, np.int64) for n, r in rows.items()}, bins
 
 
-def _placer(shared: Any) -> Any:
+def _placer(table: dict[int, np.ndarray]) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
             n = batch.column("n_tokens").to_numpy()
             rank = batch.column("rank").to_numpy()
@@ -164,37 +171,58 @@ def _placer(shared: Any) -> Any:
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, length: str | None = None, rank_shards: int = RANK_SHARDS) -> DataFrame:
-    """The place of every piece of every document."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, length: str | None = None, key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The place of every piece of every document; ``key`` is the column that names a document."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
     spark = docs.sparkSession
-    sized = lengths(docs) if length is None else docs.select("doc_id", F.col(length).cast("long").alias("n_tokens"))
+    sized = lengths(docs) if length is None else docs.select(F.col(key).alias("doc_id"), F.col(length).cast("long").alias("n_tokens"))
     sized = cut(sized, "packing-lengths")
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(rank_shards)).cast("int")
-    placed = pieces(sized, capacity).withColumn("shard", shard)
-    # at most capacity x rank_shards rows at any input size
+    # at most capacity rows at any input size
+    counts = pieces(sized, capacity).groupBy("n_tokens").count().toPandas()
+    shards = np.ones(capacity + 1, np.int64)
+    shards[counts["n_tokens"]] = -(-counts["count"] // shard_rows)
+    by_length = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(shards)], "n_tokens long, shards long"))
+    placed = pieces(sized, capacity).join(by_length, "n_tokens").select("doc_id", "piece", "start", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece"), "shards").cast("int").alias("shard"))
+    # a row for each length and for each shard_rows pieces
     histogram = placed.groupBy("n_tokens", "shard").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["n_tokens", "shard"])
     table, _ = plan({int(k): int(v) for k, v in histogram.groupby("n_tokens").n.sum().items()}, capacity)
-    histogram["first"] = histogram.groupby("n_tokens").n.cumsum() - histogram.n
-    firsts = np.zeros((capacity + 1, rank_shards), np.int64)
-    firsts[histogram.n_tokens, histogram.shard] = histogram["first"]
-    shared = spark.sparkContext.broadcast((table, firsts))
+    base = np.concatenate([[0], np.cumsum(shards)])
+    firsts = np.zeros(base[-1], np.int64)
+    firsts[base[histogram.n_tokens] + histogram.shard] = histogram.groupby("n_tokens").n.cumsum() - histogram.n
+    shared = spark.sparkContext.broadcast((table, base, firsts))
 
     def with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = _placer(type("Table", (), {"value": shared.value[0]}))
-        first = shared.value[1]
+        own, begin, first = shared.value
+        place = _placer(own)
 
         def ranked() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rank = batch.column("within").to_numpy() - 1 + first[batch.column("n_tokens").to_numpy(), batch.column("shard").to_numpy()]
-                yield batch.append_column("rank", pa.array(rank, pa.int64()))
+                at = begin[batch.column("n_tokens").to_numpy()] + batch.column("shard").to_numpy()
+                yield batch.append_column("rank", pa.array(batch.column("within").to_numpy() - 1 + first[at], pa.int64()))
 
         yield from place(ranked())
 
     w = Window.partitionBy("n_tokens", "shard").orderBy("doc_id", "piece")
     ranked = placed.withColumn("within", F.row_number().over(w).cast("long"))
-    schema = placed.sparkSession.createDataFrame([], "bin_id long, slot long").schema
-    for f in placed.select("doc_id", "piece", "start", "n_tokens").schema:
-        schema = schema.add(f)
+    schema = T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("slot", T.LongType()), *placed.select("doc_id", "piece", "start", "n_tokens").schema])
     return ranked.mapInArrow(with_first, schema)
+
+
+def pack_tokens(docs: DataFrame, capacity: int = CAPACITY, path: str = bpe.VOCABULARY) -> DataFrame:
+    """The place of every piece of every document's tokens, and ``token_ids``, the piece's ids.
+
+    Rows are told apart by a number of their own, so those that share a doc_id, or have
+    none, keep their own ids.
+    """
+    encoded = cut(bpe.encode(docs, path).select("doc_id", "n_tokens", "token_ids", F.monotonically_increasing_id().alias("row")), "packing-tokens")
+    places = pack(encoded, capacity, "n_tokens", "row").withColumnRenamed("doc_id", "row")
+    ids = encoded.select("row", "doc_id", "token_ids")
+    out = places.join(ids, "row")
+    return out.select("bin_id", "slot", "doc_id", "piece", "start", "n_tokens", F.slice("token_ids", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int")).alias("token_ids"))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """``bin_id, token_ids, doc_ids``: a training sequence a row, its pieces in the order of slot; a bin has ``capacity`` tokens at most."""
+    parts = packed.groupBy("bin_id").agg(F.sort_array(F.collect_list(F.struct("slot", "doc_id", "token_ids"))).alias("p"))
+    return parts.select("bin_id", F.flatten(F.transform("p", lambda x: x["token_ids"])).alias("token_ids"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"))
