@@ -8,8 +8,21 @@ and read again as the next one's ``docs``.  All but the last return the columns
 2. near copies: of each group the document with the least doc_id stays.
 3. repeated passages: sentences covered by a non-first repeated span go; so does a
    document of which nothing is left.
-4. personal data: replaced by pseudonyms of the same format.
-5. packing: every remaining word gets its place in a training sequence.
+4. personal data: replaced by pseudonyms of the same format, under the key of the
+   session's setting ``spark.corvid.pseudonym.key`` (without it one drawn by the
+   application).
+5. packing: the byte-pair tokens of every remaining text get their places in training
+   sequences, and come with them: the rows of one bin_id, in the order of slot, are the
+   ids of one sequence.
+
+Defined results: rows with a null or letterless text go in the first stage; rows with a
+null doc_id are never near copies or repeats, and are packed.  Of rows that share a
+doc_id and a text, all stay or go.  Very long texts are worked off whole.  An empty table
+gives no rows.  Columns besides ``doc_id``, ``text``, ``lang`` and ``n_chars`` are passed
+on, whatever their names.
+
+What a stage writes on its way is deleted when its result is written, and a stage's
+result when the next one's is.
 """
 
 from __future__ import annotations
@@ -20,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import langid, packing, pii, simhash, spans
-from corvid.storage import cut
+from corvid.storage import cut, drop, scratch
 
 _COUNT = "__n_removed"
 
@@ -49,7 +62,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack_tokens(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -68,5 +81,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        with scratch(spark) as keep:
+            done = keep(cut(stage(spark, docs, sf_dir), f"pipeline-{i}"))
+        if i:
+            drop(docs)
+        docs = done
     return docs
