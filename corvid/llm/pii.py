@@ -27,9 +27,16 @@ groups, then for a shorter end, then for cards at any group borders, then from t
 group on.
 Documents without a digit or an @ aren't searched: no kind can occur in them.
 
-Defined results: null texts stay null, empty ones empty, with 0 replacements.
-Repeated rows change alike.  ``pseudonymise`` keeps all columns of its input,
-whatever their names; ``report`` reads doc_id and text only.
+The key is a secret of any length (it is hashed to the network's 64 bytes, so every byte
+counts).  It comes with the call or from the session's setting ``spark.corvid.pseudonym.key``;
+where there is neither, the application draws one, so values are linked within it and
+nobody can invert them afterwards.  None is held in the code.
+
+Defined results: null texts stay null, empty ones empty, with 0 replacements; an empty
+table gives no rows.  Very long texts are searched whole.  Where two kinds match from the
+same place the first in the table counts, and matches don't overlap: the one that begins
+first is replaced.  Repeated rows change alike.  ``pseudonymise`` keeps all columns of its
+input, whatever their names; ``report`` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -37,6 +44,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -44,13 +52,29 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm import textscan as ts
 
-#: Stands in for the deployment's secret, which callers pass as ``key``.
-KEY = b"corvid default pseudonym key"
+#: The session's setting that holds the key.
+SETTING = "spark.corvid.pseudonym.key"
 ROUNDS = 10
+_DRAWN: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession, key: bytes | None = None) -> bytes:
+    """The key that counts: the given one, the session's, or the one drawn for this application."""
+    if key is None:
+        named = spark.conf.get(SETTING, None)
+        key = named.encode() if named else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(64))
+    if not key:
+        raise ValueError("the key is empty")
+    return key
+
+
+@lru_cache(maxsize=16)
+def _network_key(key: bytes) -> bytes:
+    return hashlib.blake2b(key).digest()
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]*@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-]))"
@@ -86,7 +110,7 @@ def permute(x: int, size: int, key: bytes, tweak: str, inside: Callable[[int], b
         left, right = x % a, x // a
         for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
             half = right if i % 2 == 0 else left
-            f = int.from_bytes(hashlib.blake2b(f"{tweak}|{size}|{i}|{half}".encode(), key=key[:64]).digest(), "big")
+            f = int.from_bytes(hashlib.blake2b(f"{tweak}|{size}|{i}|{half}".encode(), key=_network_key(key)).digest(), "big")
             if back:
                 f = -f
             if i % 2 == 0:
@@ -200,7 +224,9 @@ def _phone(t: str, key: bytes, back: bool) -> str:
         return t
     code = len(re.match(r"\+(\d{1,3}(?=[ .(-])|\d{2})", t)[1]) if t[0] == "+" else 0
     rest = digits[code:]
-    new = permute(int(rest), 10 ** len(rest), key, f"phone{digits[:code]}|{len(rest)}", back=back)
+    # ten digits without a code are a number of country 1, and get the pseudonym that they get after +1
+    country = digits[:code] or ("1" if len(rest) == 10 else "")
+    new = permute(int(rest), 10 ** len(rest), key, f"phone{country}|{len(rest)}", back=back)
     return _refill(t, digits[:code] + f"{new:0{len(rest)}d}")
 
 
@@ -226,12 +252,12 @@ _KINDS = {"email": _email, "iban": _iban, "date": _date, "ipv4": _ipv4, "ssn": _
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(kind: str, value: str, key: bytes = KEY) -> str:
+def pseudonym(kind: str, value: str, key: bytes) -> str:
     """The pseudonym of a value, or the value itself if it isn't valid."""
     return _KINDS[kind](value, key, False)
 
 
-def reveal_value(kind: str, value: str, key: bytes = KEY) -> str:
+def reveal_value(kind: str, value: str, key: bytes) -> str:
     """The value behind a pseudonym; a date in d/m/y may come back with leading zeros."""
     return _KINDS[kind](value, key, True)
 
@@ -295,7 +321,7 @@ def _found(text: str, lo: int, hi: int, key: bytes) -> Iterator[tuple[int, int,
             at = b
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, int]:
+def replace(text: str, key: bytes) -> tuple[str, int]:
     """The text with pseudonyms, and how many."""
     out, at, n = [], 0, 0
     for start, stop, new in _found(text, 0, len(text), key):
@@ -328,25 +354,27 @@ def replace_column(column: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
     return column, counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """The documents, all columns, with pseudonyms in ``text``."""
+    secret = session_key(docs.sparkSession, key)
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
-            columns[at] = replace_column(columns[at], key)[0]
+            columns[at] = replace_column(columns[at], secret)[0]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``doc_id, text, n_replaced`` of every document."""
+    secret = session_key(docs.sparkSession, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, n = replace_column(batch.column("text"), key)
+            text, n = replace_column(batch.column("text"), secret)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(n)], ["doc_id", "text", "n_replaced"])
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", "text").schema.add("n_replaced", "long"))
