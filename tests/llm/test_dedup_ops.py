@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm import components, simhash, spans, spotsigs
 from corvid.llm import textscan as ts
+from corvid.storage import cut
 
 IDS = {r[0] for r in data.hard_rows()} - {None}
 
@@ -234,9 +235,10 @@ def plain_removal(rows, k, least):
     import re
 
     def cut(text):
-        # pieces with the white space after them, blank ones joined to no sentence
+        # pieces with the white space after them, blank ones joined to no sentence; long ones by clauses
         marked = re.sub(r"([.!?][!-/:-@\[-`{-~]*) ", "\\1 \0", text.replace("\n", "\n\0"))
-        return [p for p in marked.split("\0") if p.strip()]
+        pieces = [c for p in marked.split("\0") for c in (re.sub("([,;:]) ", "\\1 \0", p).split("\0") if len(p.split()) > spans.LONG_WORDS else [p])]
+        return [p for p in pieces if p.strip()]
 
     occurrences = defaultdict(set)
     order = sorted({(i, t) for i, t in rows if i is not None and t is not None}, key=lambda r: (r[0], int(spans.text_marks(*ts.text_buffers(pa.array([r[1]])))[0])))
@@ -248,7 +250,7 @@ def plain_removal(rows, k, least):
             for e in range(p + 1, len(s) + 1):
                 run = tuple(x.strip() for x in s[p:e])
                 words = sum(len(x.split()) for x in run)
-                if words >= least and (e - p >= k or words >= spans.LONG_WORDS):
+                if words >= least and e - p >= k:
                     occurrences[run].add((i, t, p))
                     break
     gone = defaultdict(set)
@@ -274,10 +276,11 @@ def plain_removal(rows, k, least):
     return out
 
 
-@pytest.mark.parametrize(("k", "least"), [(2, 12), (3, 5), (1, 8)])
-def test_spans_are_brute_force(spark, k, least):
+@pytest.mark.parametrize(("k", "least", "filter_bytes"), [(2, 12, 64 << 20), (3, 5, 64 << 20), (1, 8, 64), (2, 30, 64)])
+def test_spans_are_brute_force(spark, k, least, filter_bytes):
+    """A filter of 64 bytes is full: it passes nearly all, with the same result."""
     rng = np.random.RandomState(k)
-    shared = [data.prose(500 + i, 4) for i in range(6)]
+    shared = [data.prose(500 + i, 4) if i % 2 else data.prose(500 + i, 6).replace(". ", ", ").replace("\n", " ") for i in range(6)]
     rows = []
     for i in range(60):
         parts = [data.prose(600 + i, 5)]
@@ -285,10 +288,74 @@ def test_spans_are_brute_force(spark, k, least):
             parts.insert(rng.randint(len(parts) + 1), shared[j])
         rows.append((i, (" " if i % 2 else "\n").join(parts)))
     rows += [(60, rows[5][1]), (60, rows[6][1]), (61, rows[7][1]), (61, rows[7][1]), (62, shared[0] + "\n\n \n" + shared[0]), *((70 + i, "A!! B!! C.*** " * 9 + data.prose(40 + i, 2) + "\n" + " ".join(shared[1].replace(".", ",").split()) + '." \n. ?! x') for i in range(3)), (None, shared[0]), (63, None), (64, "")]
-    got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, least).collect()
+    got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, least, filter_bytes=filter_bytes).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_removal(rows, k, least)))
 
 
+def test_long_texts_are_cut_as_short_ones(monkeypatch):
+    """Texts longer than a piece have the tokens, runs and fingerprint that they have whole."""
+    text = data.prose(1, 60) + " " + "x" * 500 + " éÀÜ,; !!! " + data.prose(2, 40, "de").replace(". ", ", ") + "\n" + "ß" * 333 + " end. of it"
+    buf, offsets = ts.text_buffers(pa.array([text]))
+    whole = [*ts.tokens(buf, offsets), *ts.tokens(buf, offsets, True), *spans.sentences(buf, offsets), *spans.span_keys(buf, offsets, 2, 30), *simhash.fingerprints(buf, offsets), *spotsigs.signatures(buf, offsets)]
+    monkeypatch.setattr(simhash, "_AT_ONCE", 50)
+    monkeypatch.setattr(simhash, "_LANE_MAX", 40)
+    for piece in (7, 64, 1001):
+        monkeypatch.setattr(ts, "PIECE", piece)
+        monkeypatch.setattr(spans, "PIECE", piece * 5)
+        again = [*ts.tokens(buf, offsets), *ts.tokens(buf, offsets, True), *spans.sentences(buf, offsets), *spans.span_keys(buf, offsets, 2, 30), *simhash.fingerprints(buf, offsets), *spotsigs.signatures(buf, offsets)]
+        assert all(np.array_equal(a, b) for a, b in zip(whole, again))
+    at = np.array([0, 5, 100, 1500]), np.array([len(buf), 700, 100, 1501])
+    for block in (64, 1000):
+        assert np.array_equal(ts._long_span_hashes(buf, *at, block), ts.span_hashes(buf, *at))
+
+
+def test_a_hot_run_and_a_hot_signature_are_no_tasks_own(spark):
+    """All of 20 000 documents share a run and signatures: no window, which would gather them, and no list of them in one row."""
+    hot = "the old miller of the town sold the last sack of flour to a stranger. the rain came down and the road was lost to all of them that night in the hills. "
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(hot), F.lit("the w"), "id", F.lit(" x"), "id", F.lit(" and the y"), "id", F.lit(" z"), "id")).toDF("doc_id", "text").repartition(4)
+    gone = spans.remove_repeats(df)
+    plan = gone._jdf.queryExecution().toString() + spotsigs.shared_sets(df)._jdf.queryExecution().toString() + spans.repeats(df)._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    assert gone.where("n_removed > 0").count() == 19_999
+    assert {r["group_id"] for r in spotsigs.groups(df, 0.5).select("group_id").distinct().collect()} == {0}
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_full_filters_lose_no_pair(spark, threshold):
+    """Filters of one block hold nearly everything, so sets keep all their signatures in an order of hashes: the groups are the same."""
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, all_ = (cut(spotsigs.shared_sets(df, threshold, filter_bytes=b), "test-sets") for b in (spotsigs.FILTER_BYTES, (32, 32)))
+    assert all_.selectExpr("sum(size(sigs))").first()[0] > few.selectExpr("sum(size(sigs))").first()[0]
+    ids = [i for i, _ in rows]
+    groups = [unite(map(tuple, spotsigs.links(x, threshold).collect()), ids) for x in (few, all_)]
+    assert groups[0] == groups[1] and len(set(groups[0].values())) < len(ids) - 20
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_long_lists_are_compared_in_groups(spark, threshold):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = cut(spotsigs.shared_sets(df, threshold), "test-sets")
+    pairs = [{frozenset((r["a"], r["b"])) for r in spotsigs.links(sets, threshold, n).collect()} for n in (1 << 14, 4)]
+    ids = [i for i, _ in rows]
+    assert unite(map(tuple, pairs[0]), ids) == unite(map(tuple, pairs[1]), ids) and len(pairs[1]) > 20
+
+
+def test_hot_lists_of_fingerprints_are_dealt(spark):
+    """Lists of 40 at most in a task: the groups that brute force finds are still found."""
+    rows = corpus()
+    prints = simhash.table(spark.createDataFrame(rows, "doc_id long, text string")).where("n_shingles > 0").groupBy(*simhash.WORDS).agg(F.min("doc_id").alias("id"))
+    prints = cut(prints, "test-prints")
+    n = prints.count()
+    ids = [i for i, _ in rows]
+    want = unite([tuple(r) for r in simhash.links(prints, n).collect()], ids)
+    row, key = simhash.deal(np.array([0, 1, 2]), np.array([5, 9, 5]), np.array([10, 11, 12], np.uint64), np.array([5]), np.array([4]))
+    assert len(row) == 9 and (key == 9).sum() == 1 and len(set(key[row == 0]) & set(key[row == 2])) >= 1
+    got = unite([tuple(r) for r in simhash.links(prints, n, list_rows=8).collect()], ids)
+    assert got == want and len(set(want.values())) < n
+
+
 def test_planted_passage_goes_from_all_but_the_first(spark):
     passage = data.prose(7, 8)
     assert len(passage.split()) > 50

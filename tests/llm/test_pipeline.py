@@ -7,10 +7,11 @@ from collections import Counter
 import corpus_pipeline as P
 import data
 import pytest
+from pyspark.sql import functions as F
 from test_layout_ops import check_packed
 
 import __spark_entry__ as entry
-from corvid.llm import langid, packing, pii, queries, simhash
+from corvid.llm import bpe, langid, packing, pii, queries, simhash, spans
 from corvid.storage import cut
 
 TEN = [f"op{n}_" for n in range(1, 11)]
@@ -49,13 +50,33 @@ def test_each_stage_does_its_work(spark):
     assert 0 < len(rows[2]) < len(rows[1])
     from test_dedup_ops import plain_removal
 
-    want = {i: (t, n) for i, t, n in plain_removal([(i, r["text"]) for i, r in rows[2].items()], 2, 12)}
+    want = {i: (t, n) for i, t, n in plain_removal([(i, r["text"]) for i, r in rows[2].items()], spans.SENTENCES, spans.MIN_WORDS)}
     assert {i: r["text"] for i, r in rows[3].items()} == {i: t for i, (t, n) in want.items() if not (n and not t.strip())}
     assert any(n for _, n in want.values())
-    assert {i: r["text"] for i, r in rows[4].items()} == {i: pii.replace(r["text"])[0] for i, r in rows[3].items()}
+    assert {i: r["text"] for i, r in rows[4].items()} == {i: pii.replace(r["text"], pii.session_key(spark))[0] for i, r in rows[3].items()}
     assert all(r["n_chars"] == len(r["text"]) for r in rows[4].values())
-    check_packed(packed.collect(), [(i, len(r["text"].split())) for i, r in rows[4].items()], packing.CAPACITY)
-    assert Counter(map(tuple, P.run(spark, d).collect())) == Counter(map(tuple, packed.collect()))
+    ids = {r["doc_id"]: r["token_ids"] for r in bpe.encode(private).collect()}
+    check_packed(packed.collect(), [(i, len(t)) for i, t in ids.items()], packing.CAPACITY)
+    assert all(r["token_ids"] == ids[r["doc_id"]][r["start"] : r["start"] + r["n_tokens"]] for r in packed.collect())
+    back = bpe.decode(packed.where("piece = 0").join(packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1"), "doc_id"))
+    assert {r["doc_id"]: r["text"] for r in back.collect()}.items() <= {i: r["text"] for i, r in rows[4].items()}.items()
+    rest = lambda x: Counter((r["bin_id"], r["slot"], r["doc_id"], r["piece"], r["n_tokens"], tuple(r["token_ids"])) for r in x.collect())
+    assert rest(P.run(spark, d)) == rest(packed)
+
+
+def test_a_run_leaves_only_its_result(spark, sf_dir, tmp_path):
+    """All that the stages write on their way is deleted."""
+    import os
+
+    from corvid import storage
+
+    storage.clear(spark)
+    shared = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    out = P.run(spark, sf_dir)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before} == {"pipeline-4"}
+    assert out.count() > 0
+    assert storage.clear(spark) == 1 and set(os.listdir(shared)) == before
 
 
 @pytest.mark.parametrize("kind", ["hard", "empty", "extra"])
