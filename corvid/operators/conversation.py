@@ -18,6 +18,26 @@ def add_messages(table: DataFrame, messages: DataFrame) -> DataFrame:
     return table.unionByName(numbered.select("conv_id", (F.coalesce("__last", F.lit(-1)) + F.col("__nth")).cast(table.schema["turn"].dataType).alias("turn"), "role", "text"))
 
 
+def get(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The messages of those conversations."""
+    return table.join(ids.select("conv_id").distinct(), "conv_id", "left_semi")
+
+
+def get_or_create(table: DataFrame, ids: DataFrame, greeting: str | None = None) -> DataFrame:
+    """The messages of those conversations; one that isn't there begins with a message of the system, if a greeting is given.
+
+    A null id asks for a new conversation of its own, where ids are text.
+    """
+    wanted = ids.select("conv_id")
+    if dict(wanted.dtypes)["conv_id"] == "string":
+        wanted = wanted.select(F.coalesce("conv_id", new_id()).alias("conv_id"))
+    known = get(table, wanted.where("conv_id is not null")).select("conv_id", "turn", "role", "text")
+    if greeting is None:
+        return known
+    new = wanted.where("conv_id is not null").distinct().join(table.select("conv_id").distinct(), "conv_id", "left_anti")
+    return known.unionByName(new.select("conv_id", F.lit(0).cast(table.schema["turn"].dataType).alias("turn"), F.lit("system").alias("role"), F.lit(greeting).alias("text")))
+
+
 def last_messages(table: DataFrame, n: int = 10, system: bool = True) -> DataFrame:
     """The last n turns of each conversation; without ``system`` those messages don't count."""
     rows = table if system else table.where("lower(role) <> 'system'")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
-from typing import Any, TypeVar
+from dataclasses import dataclass
+from typing import Any, Generic, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,17 @@ from corvid.storage import clear, cut, scratch
 
 R = TypeVar("R")
 
+
+@dataclass(frozen=True)
+class Outcome(Generic[R]):
+    value: R | None
+    error: Exception | None
+
+    @property
+    def ok(self) -> bool:
+        return self.error is None
+
+
 #: Calls of ``index`` and ``delete`` after which the store is written as one table.
 COMPACT = 8
 
@@ -157,6 +169,13 @@ class Engine:
         finally:
             pool.shutdown(wait=False)
 
+    def outcome(self, call: Callable[..., R], *args: Any, **values: Any) -> Outcome[R]:
+        """A call's value or its error, never an exception, as ``outcome(engine.ask, question)``."""
+        try:
+            return Outcome(call(*args, **values), None)
+        except Exception as e:  # noqa: BLE001 - becomes a value
+            return Outcome(None, e)
+
     def ask(self, question: str, **options: Any) -> str:
         """One question, one answer."""
         row = self.query(self.spark.createDataFrame([(0, question)], "query_id long, question string"), QueryOptions(**options)).first()

@@ -186,6 +186,27 @@ def filter_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(X.lenient_equals(p, "p_size", 7) | X.lenient_equals(p, "p_brand", "Brand#12")).select("p_partkey")
 
 
+# --- contains on lists and maps ---
+@_query("filter_contains_list", "SELECT doc_id FROM documents WHERE list_contains(string_split(lower(text), ' '), 'the')")
+def filter_contains_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("words"))
+    return X.apply_filter(d, X.contains("words", "the")).select("doc_id")
+
+
+@_query("filter_contains_map", "SELECT doc_id FROM documents WHERE lang = 'en' OR source = 'src1'")
+def filter_contains_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key or a value: documents of one source have it as a key."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.create_map(F.when(F.col("source") == "src1", F.lit("en")).otherwise(F.lit("lang")), F.col("lang")).alias("m"))
+    return X.apply_filter(d, X.contains("m", "en")).select("doc_id")
+
+
+@_query("conv_get_or_create", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT -1 - conv_id, 0, 'system', 'Hello.' FROM conversations WHERE conv_id % 3 = 1")
+def conv_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    wanted = c.where("conv_id % 3 = 0").select("conv_id").unionByName(c.where("conv_id % 3 = 1").select((-1 - F.col("conv_id")).alias("conv_id")))
+    return conversation.get_or_create(c, wanted, "Hello.")
+
+
 # --- text cleaning ---
 _WS = "regexp_replace(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
 _TAGS = "regexp_replace({0}, '<[^>]*>', '', 'g')"

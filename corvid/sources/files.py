@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.operators.chunking import Chunking, chunk
 from corvid.sources import extract as X
 
 
@@ -54,9 +55,17 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark.read.format("binaryFile").load(path), None)
 
 
-def stream_folder(spark: SparkSession, path: str, recursive: bool = True, extensions: Sequence[str] | None = None) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, strategy: str = "paragraph", options: Chunking = Chunking()) -> DataFrame:
+    """The chunks of a file, or of the files below a folder, with the files' metadata."""
+    return chunk(read_folder(spark, path), strategy, options)
+
+
+def stream_folder(spark: SparkSession, path: str, recursive: bool = True, extensions: Sequence[str] | None = None, files_a_batch: int | None = None) -> DataFrame:
     """The same as a stream of the files that come in."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    reader = spark.readStream.format("binaryFile")
+    if files_a_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    files = reader.schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return _documents(files, extensions, path)
 
 

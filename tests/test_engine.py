@@ -98,6 +98,32 @@ def test_streaming_index_reads_each_file_once(spark, folder, tmp_path_factory):
     assert spark.read.parquet(store).count() == 3
 
 
+def test_streaming_index_tells_progress_and_failure(spark, folder, tmp_path_factory):
+    store, checkpoint = (str(tmp_path_factory.mktemp(n)) for n in ("store", "checkpoint"))
+    seen, broken = [], []
+
+    def fail_once(chunks, number):
+        if not broken:
+            raise OSError("full")
+
+    q = index_folder(spark, folder, store, checkpoint, extensions=["txt", "md"], then=fail_once, failed=lambda n, e: broken.append((n, str(e))))
+    with pytest.raises(Exception, match="full"):
+        q.awaitTermination(120)
+    index_folder(spark, folder, store, checkpoint, extensions=["txt", "md"], then=fail_once, progress=lambda *n: seen.append(n)).awaitTermination(120)
+    assert broken == [(0, "full")] and seen == [(0, 2, 2)] and spark.read.parquet(store).count() == 2
+
+
+def test_chunks_of_files(spark, folder):
+    rows = files.read_chunks(spark, folder, "fixed", chunking.Chunking(size=8, overlap=0)).collect()
+    assert {r["parent_id"] for r in rows} == {"a.md", "b.html", "c.TXT"} and all(len(r["content"]) <= 8 and r["metadata"]["relative_path"] for r in rows)
+
+
+def test_outcomes(spark, engine):
+    assert engine.outcome(engine.ask, "Which language is it?").ok
+    lost = Engine(spark).outcome(Engine(spark).ask, "x")
+    assert not lost.ok and lost.value is None and "nothing is indexed" in str(lost.error)
+
+
 def test_sql_functions(spark):
     assert "vec_cosine" in sqlapi.register(spark)
     got = spark.sql("SELECT vec_dot(array(1D, 2D), array(3D, 4D)) d, vec_cosine(array(1D, 0D), array(0D, 0D)) c, vec_distance(array(0D), array(2D)) e, clean_whitespace('  a \n b ') w, strip_tags('<b>x</b>') s, chunk_windows('abcde', 3, 2) k").first()
