@@ -1,50 +1,55 @@
 """URL filter: a blocked Bloom filter in front of an exact hash join.
 
-URLs are made canonical by one expression on both sides: lower case without scheme,
-user, ``www.``, port, fragment, tracking parameters and the slash at the end; the
-other parameters are sorted.  A page is looked up under its canonical URL and under
-its host with each of the host's parent domains of two labels or more, so an entry
-that is a bare host lists everything below it.
-
-The entries' hashes set 8 bits in one block of 256 each; tasks send the blocks they
-touched, which are joined by ``bit_or``.  The filter has ``BITS_PER_KEY`` bits an entry
-and is broadcast while it has at most ``MAX_BYTES``; past that pages go to the join
-without it.  Only pages that may be listed are exploded into their keys and joined
-with the list by hash, which removes false positives.  All other pages pass through
-without a shuffle, and only ``page_id`` and ``url`` are read.
-
-Defined results: a null or blank URL has a null canonical URL and isn't listed.
-Repeated rows give a row each.  If several entries match, the longest is reported.
-Null entries and repeated ones don't count; an empty list lists nothing.
+URLs are made canonical by one expression on both sides: without scheme, user, ``www.``,
+port, fragment, tracking parameters and the slash at the end; the host in lower case
+(path and parameters keep theirs: they may differ by it); the other parameters sorted.
+A page is looked up under its canonical URL and under its host with each of the host's
+parent domains of two labels or more, so an entry that is a bare host lists everything
+below it.
+
+The entries' hashes are held in the filter of :mod:`corvid.llm.bloom`, with
+``BITS_PER_KEY`` bits an entry at any length of the list.  Up to ``MAX_BYTES`` it is
+broadcast, and pages that no key lets pass go on without a shuffle.  A longer filter stays
+a table of its blocks: the pages' keys, as hashes, are joined with their blocks, which
+only keys that the list may hold survive.  Either way only these are joined with the list
+itself by hash, which removes false positives, and only ``page_id`` and ``url`` are read, once.
+
+Defined results: a null or blank URL has a null canonical URL and isn't listed.  Very
+long URLs are treated as any other.  Repeated rows give a row each.  If several entries
+match, the longest is reported (they are parts of one host, so none ties).  Null entries
+and repeated ones don't count; an empty list lists nothing; an empty table of pages gives
+no rows.  Other columns of the tables, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY = 16
-MAX_BYTES = 64 << 20
+from corvid.llm import bloom
+from corvid.storage import cut
+
+BITS_PER_KEY = bloom.BITS_PER_KEY
+MAX_BYTES = bloom.MAX_BYTES
 TRACKING = "(utm_[a-z_]*|ref|gclid|fbclid|msclkid|sessionid|sid)"
 #: Words in a host's name by which the query's list of reported URLs is made.
 REPORTED_WORDS = "casino|bets|pills|adult|spam|ads-"
-_SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint64)
-_WORDS = [f"w{i}" for i in range(4)]
 
 
 def canonical(url: Column) -> Column:
     """The canonical form; null for a null or blank URL."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace(url, r"^\s+|\s+$", "")), "#.*$", "")
-    plain = F.regexp_replace(plain, "^([a-z][a-z0-9+.-]*:)?//", "")
+    plain = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "#.*$", "")
+    plain = F.regexp_replace(plain, "^([A-Za-z][A-Za-z0-9+.-]*:)?//", "")
     place = F.regexp_replace(plain, r"\?.*$", "")
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(place, "/.*$", ""), "^.*@", ""), ":[0-9]*$", ""), r"^www\.", "")
+    host = F.lower(F.regexp_replace(F.regexp_replace(place, "/.*$", ""), "^.*@", ""))
+    host = F.regexp_replace(F.regexp_replace(host, ":[0-9]*$", ""), r"^www\.", "")
     path = F.regexp_replace(F.regexp_replace(place, "^[^/]*", ""), "/+$", "")
-    query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(plain, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}(=|$)"))), "&")
+    query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(plain, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^(?i){TRACKING}(=|$)"))), "&")
     whole = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(whole != "", whole)
 
@@ -57,93 +62,76 @@ def keys(canonical_url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(canonical_url), parents))
 
 
-def _bits(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each hash, and its 256 bits as 4 words."""
-    h = hashes.view(np.uint64)
-    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    at = (((h & np.uint64(0xFFFFFFFF))[:, None] * _SALTS) & np.uint64(0xFFFFFFFF)) >> np.uint64(27)
-    half = np.uint64(1) << at
-    return block.astype(np.int64), half[:, 0::2] | (half[:, 1::2] << np.uint64(32))
-
-
-def build(listed: DataFrame, n: int, bits_per_key: int = BITS_PER_KEY) -> np.ndarray:
-    """The filter (blocks x 4 words) of a table of n distinct ``entry`` strings."""
-    blocks = max(1, -(-n * bits_per_key // 256))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, words = _bits(batch.column(0).to_numpy(), blocks)
-            order = np.argsort(block, kind="stable")
-            block, words = block[order], words[order]
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-            joined = np.bitwise_or.reduceat(words, starts, axis=0) if len(starts) else words
-            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), *(pa.array(joined[:, i].view(np.int64)) for i in range(4))], ["block", *_WORDS])
-
-    touched = listed.select(F.xxhash64("entry").alias("h")).mapInArrow(run, "block long, w0 long, w1 long, w2 long, w3 long")
-    rows = touched.groupBy("block").agg(*(F.bit_or(w).alias(w) for w in _WORDS)).toPandas()
-    out = np.zeros((blocks, 4), np.uint64)
-    for i, w in enumerate(_WORDS):
-        out[rows.block, i] = rows[w].to_numpy(np.int64).view(np.uint64)
-    return out
-
+def reported_urls(pages: DataFrame) -> DataFrame:
+    """``url`` of the pages whose host's name has a reported word: the list that the query filters by."""
+    host = F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]*)", 1)
+    return pages.where(host.rlike(REPORTED_WORDS)).select("url")
 
-def may_contain(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold each of the hashes; never false for one that it holds."""
-    block, words = _bits(hashes, len(table))
-    return ((table[block] & words) == words).all(axis=1)
 
+def _needed(blocks: int) -> object:
+    """For each hash its block in the filter and the bits that must be set there."""
 
-def _prober(shared: Any) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            lists = batch.column("hashes")
-            hit = np.zeros(batch.num_rows, bool)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(flat):
-                n = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
-                np.logical_or.at(hit, np.repeat(np.arange(batch.num_rows), n), may_contain(table, flat.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "canonical")), pa.array(hit)], ["page_id", "url", "canonical", "maybe"])
+            block, words = bloom.bits(batch.column("h").to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(block), *(pa.array(words[:, i].view(np.int64)) for i in range(4))], ["h", "block", *(f"need{i}" for i in range(4))])
 
     return run
 
 
-def reported_urls(pages: DataFrame) -> DataFrame:
-    """``url`` of the pages whose host's name has a reported word: the list that the query filters by."""
-    host = F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]*)", 1)
-    return pages.where(host.rlike(REPORTED_WORDS)).select("url")
+def _in_filter_table(hashes: DataFrame, entries: DataFrame, blocks: int) -> DataFrame:
+    """Those of the hashes ``h`` (distinct) that a filter which stays a table lets pass."""
+    needed = hashes.mapInArrow(_needed(blocks), "h long, block long, need0 long, need1 long, need2 long, need3 long")
+    table = bloom.filter_table(entries.select(F.xxhash64("entry")), blocks)
+    held = [F.col(w).bitwiseAND(F.col(f"need{i}")) == F.col(f"need{i}") for i, w in enumerate(bloom.WORDS)]
+    return needed.join(table, "block").where(held[0] & held[1] & held[2] & held[3]).select("h")
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, bits_per_key: int = BITS_PER_KEY, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``page_id, url, canonical, listed, entry`` of every page; listed: a table with a column ``url``."""
-    entries = listed.select(canonical(F.col("url")).alias("entry")).where("entry is not null").distinct()
+    entries = cut(listed.select(canonical(F.col("url").cast("string")).alias("entry")).where("entry is not null").distinct(), "url-entries")
     n = entries.count()
-    seen = pages.select("page_id", F.col("url").cast("string").alias("url"), canonical(F.col("url").cast("string")).alias("canonical"))
-    if n * bits_per_key // 8 <= max_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast(build(entries, n, bits_per_key))
-        hashed = seen.withColumn("hashes", F.transform(keys(F.col("canonical")), lambda k: F.xxhash64(k)))
-        probed = hashed.mapInArrow(_prober(shared), seen.select("*").schema.add("maybe", "boolean"))
+    blocks = bloom.blocks_for(n, bits_per_key, None)
+    url = F.col("url").cast("string")
+    # the canonical form is dear: it is made once
+    seen = cut(pages.select("page_id", url.alias("url"), canonical(url).alias("canonical")), "url-canonical")
+    small = blocks * 32 <= max_bytes
+    if small:
+        held = bloom.share(pages.sparkSession, entries.select(F.xxhash64("entry")), n, bits_per_key, None)
+
+        @F.pandas_udf("boolean")
+        def may(hashes: pd.Series) -> pd.Series:
+            flat, size = (np.concatenate(hashes.to_list()), hashes.map(len).to_numpy()) if len(hashes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            hit = np.zeros(len(hashes), bool)
+            hit[np.repeat(np.arange(len(hashes)), size)[bloom.may_contain(held.value, flat.astype(np.int64))]] = True
+            return pd.Series(hit)
+
+        passes = F.col("canonical").isNotNull() & may(F.transform(keys(F.coalesce(F.col("canonical"), F.lit(""))), lambda k: F.xxhash64(k)))
+        hits = seen.where(passes)
     else:
-        probed = seen.withColumn("maybe", F.col("canonical").isNotNull())
-    hits = probed.where("maybe").drop("maybe")
+        hits = seen.where("canonical is not null")
+    keyed = hits.select(F.col("canonical").alias("of"), F.explode(keys(F.col("canonical"))).alias("key")).distinct()
+    if not small:
+        hashed = keyed.withColumn("h", F.xxhash64("key"))
+        keyed = hashed.join(_in_filter_table(hashed.select("h").distinct(), entries, blocks), "h").select("of", "key")
     found = (
-        hits.select(F.col("canonical").alias("of"), F.explode(keys(F.col("canonical"))).alias("key"))
-        .distinct()
-        .join(entries, F.col("key") == F.col("entry"))
+        keyed.join(entries, F.col("key") == F.col("entry"))
         .groupBy("of")
         .agg(F.max(F.struct(F.length("entry").alias("n"), "entry")).alias("best"))
         .select("of", F.col("best.entry").alias("entry"))
     )
-    joined = hits.join(found, F.col("canonical") == F.col("of"), "left").select("page_id", "url", "canonical", F.col("entry").isNotNull().alias("listed"), "entry")
-    passed = probed.where("not maybe").select("page_id", "url", "canonical", F.lit(False).alias("listed"), F.lit(None).cast("string").alias("entry"))
-    return joined.unionByName(passed)
+    rows = hits if small else seen
+    joined = rows.join(found, F.col("canonical") == F.col("of"), "left").select("page_id", "url", "canonical", F.col("entry").isNotNull().alias("listed"), "entry")
+    if not small:
+        return joined
+    return joined.unionByName(seen.where(~passes).select("page_id", "url", "canonical", F.lit(False).alias("listed"), F.lit(None).cast("string").alias("entry")))
 
 
 _CANONICAL_SQL = """
-    SELECT page_id, url, plain, regexp_replace(place, '^[^/]*', '') AS path0, list_sort(list_filter(string_split(regexp_extract(plain, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^{tracking}(=|$)'))) AS params,
-        regexp_replace(regexp_replace(regexp_replace(regexp_replace(place, '/.*$', ''), '^.*@', ''), ':[0-9]*$', ''), '^www\\.', '') AS host
+    SELECT page_id, url, plain, regexp_replace(place, '^[^/]*', '') AS path0, list_sort(list_filter(string_split(regexp_extract(plain, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i){tracking}(=|$)'))) AS params,
+        regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(place, '/.*$', ''), '^.*@', '')), ':[0-9]*$', ''), '^www\\.', '') AS host
     FROM (SELECT *, regexp_replace(plain, '\\?.*$', '') AS place FROM (
-        SELECT page_id, url, regexp_replace(regexp_replace(lower(regexp_replace(url, '^\\s+|\\s+$', '', 'g')), '#.*$', ''), '^([a-z][a-z0-9+.-]*:)?//', '') AS plain FROM pages))
+        SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '^\\s+|\\s+$', '', 'g'), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS plain FROM pages))
 """.format(tracking=TRACKING)
 
 ORACLE_SQL = f"""
