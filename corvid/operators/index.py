@@ -9,7 +9,8 @@ root of the store.
 
 Cells meet queries by an equi-join on the cell; a task computes one cell's block of rows
 against its queries as a matrix product.  A cell of more than ``BLOCK_ROWS`` rows is
-several blocks, so no task holds a hot cell.  Filters come before the comparison, so a
+several blocks, and more than ``BLOCK_QUERIES`` queries of it are several parts, so no
+task holds a hot cell.  Filters come before the comparison, so a
 filtered search loses nothing to rows that don't match.
 
 Vectors are compared by cosine.  Null and zero vectors are stored but never found; a null
@@ -34,7 +35,8 @@ from corvid.operators.retrieval import _best, upsert
 from corvid.storage import cut
 
 SAMPLE = 20_000
-BLOCK_ROWS = 1 << 14
+#: Rows and queries of a cell that one task compares.
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 14, 1 << 12
 RECALL = 0.95
 
 
@@ -129,11 +131,11 @@ class CellIndex:
 
         probed = asked.mapInArrow(near, T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema]))
         rows = filters.apply_filter(self.table, where).where("embedding is not null").select("cell", "id", F.col("embedding").cast("array<double>").alias("v"))
-        # a cell is as many blocks as its rows need; so are its queries
-        sizes = self.table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-        parts = F.broadcast(sizes)
-        dealt = rows.join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.struct("id", "v").alias("r")).groupBy("cell", "block").agg(F.collect_list("r").alias("rows"))
-        groups = probed.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(8)).alias("part")).agg(F.collect_list(F.struct("query_id", "qvec")).alias("asks"))
+        # a cell is as many blocks as its rows need, and its queries are as many parts; there is a row a cell
+        blocks = F.broadcast(self.table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))
+        dealt = rows.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.struct("id", "v").alias("r")).groupBy("cell", "block").agg(F.collect_list("r").alias("rows"))
+        parts = F.broadcast(probed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("parts")))
+        groups = probed.join(parts, "cell").select("cell", F.pmod(F.xxhash64("query_id"), "parts").alias("part"), F.struct("query_id", "qvec").alias("q")).groupBy("cell", "part").agg(F.collect_list("q").alias("asks"))
         pairs = groups.join(dealt, "cell").select("asks", "rows")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

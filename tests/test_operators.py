@@ -169,10 +169,11 @@ def test_index_like_a_store(spark, tmp_path):
 
 def test_index_deals_a_hot_cell(spark, monkeypatch):
     monkeypatch.setattr(index, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(index, "BLOCK_QUERIES", 4)
     df = spark.range(100).select(F.concat(F.lit("d"), "id").alias("id"), F.array(F.lit(1.0), F.col("id") / 1000).alias("embedding"))
-    q = spark.createDataFrame([(1, [1.0, 0.05])], "query_id long, qvec array<double>")
-    got = index.build(df, cells=1).search(q, 3).collect()
-    assert [r["id"] for r in got] == [r["id"] for r in retrieval.search(df, q, 3).orderBy("rank").collect()]
+    q = spark.createDataFrame([(i, [1.0, i / 300]) for i in range(30)], "query_id long, qvec array<double>")
+    got = index.build(df, cells=1).search(q, 3).orderBy("query_id", "rank").collect()
+    assert got == retrieval.search(df, q, 3).orderBy("query_id", "rank").collect() and len(got) == 90
 
 
 def test_changes(spark, store):
