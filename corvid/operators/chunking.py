@@ -56,7 +56,6 @@ def merge_units(units: Column, size: int, overlap: int) -> Column:
     so the finished chunks aren't copied at every unit.  The texts are joined once, in the
     fold's last step, where units and breaks are values and aren't computed again.
     """
-    start = F.struct(units.alias("u"), F.array().cast("array<int>").alias("breaks"), F.lit(0).alias("n"), F.lit(0).alias("at"))
     # the least of the overlap and the length before, and the lines after it
     seed = lambda n: F.least(n, F.lit(overlap)) + 2 if overlap else F.lit(0)
 
@@ -78,7 +77,11 @@ def merge_units(units: Column, size: int, overlap: int) -> Column:
             own = F.aggregate(own, first, extend, lambda x: x["done"])
         return F.when(s["at"] > 0, own).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(units, start, step, finish)
+    def merged(u: Column) -> Column:
+        return F.aggregate(u, F.struct(u.alias("u"), F.array().cast("array<int>").alias("breaks"), F.lit(0).alias("n"), F.lit(0).alias("at")), step, finish)
+
+    # bound to a variable, the units are made once
+    return F.flatten(F.transform(F.array(units), merged))
 
 
 def paragraphs(text: Column, c: Chunking) -> Column:
@@ -155,11 +158,12 @@ STRATEGIES: dict[str, Callable[[Column, Chunking], Column]] = {
 def _numbered(df: DataFrame, strategy: str) -> DataFrame:
     """From ``id, [metadata,] chunks`` one row a chunk."""
     extra = ["metadata"] if "metadata" in df.columns else []
-    n = F.size("chunks").cast("long").alias("chunk_count")
-    out = df.select(F.col("id").alias("parent_id"), *extra, n, F.posexplode("chunks").alias("chunk_index", "content"))
+    # bound to a variable, the chunks are made once and not again for their number
+    rows = F.flatten(F.transform(F.array("chunks"), lambda c: F.transform(c, lambda x, i: F.struct(i.alias("i"), F.size(c).alias("n"), x.alias("content")))))
+    out = df.select(F.col("id").alias("parent_id"), *extra, F.explode(rows).alias("r"))
     return out.select(
-        F.concat(F.col("parent_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("id"),
-        "parent_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_count", F.lit(strategy).alias("chunk_strategy"), "content", *extra,
+        F.concat(F.col("parent_id").cast("string"), F.lit("_chunk_"), F.col("r.i").cast("string")).alias("id"),
+        "parent_id", F.col("r.i").cast("long").alias("chunk_index"), F.col("r.n").cast("long").alias("chunk_count"), F.lit(strategy).alias("chunk_strategy"), F.col("r.content").alias("content"), *extra,
     )
 
 
