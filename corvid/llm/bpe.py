@@ -9,18 +9,21 @@ them.  Back-pointers from the end give the ids, equal to those of merging by ran
 and linear in the length of the piece however long it is.
 
 Pieces recur, so each Python worker keeps the ids of those it has met, in a table
-that is emptied when it holds ``CACHE_PIECES``; this changes time, not results.
-The vocabulary is fixed in size and broadcast; its file's path is a parameter,
-read by the driver.
+that is emptied when it holds ``CACHE_PIECES`` or ``CACHE_BYTES``; this changes time, not
+results.  The vocabulary is fixed in size and broadcast; its file's path is a parameter,
+read by the driver, and workers know it by its content.
 
 Defined results: a null text has null ids and 0 tokens; an empty one has no ids.
-Repeated rows are encoded each, a null doc_id is kept.  Only ``doc_id`` and
-``text`` are read.
+Very long texts are split a few million characters at a time, between two words, where
+the pattern has a border whatever comes before.  Ties can't occur: a text has one
+encoding.  Repeated rows are encoded each, a null doc_id is kept; an empty table gives no
+rows.  Only ``doc_id`` and ``text`` are read; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -41,6 +44,9 @@ _LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}
 _BEYOND_LATIN = 0xC9
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_PIECES = 400_000
+CACHE_BYTES = 32 << 20
+#: Characters of a text that are split at a time.
+PART = 4 << 20
 CACHE_PAIRS = 1_000_000
 
 
@@ -105,6 +111,7 @@ class Encoder:
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.length = [len(t) for t in tokens]
         self.find = regex.compile(pattern).findall
+        self.between = regex.compile(r"(?<=\p{L}) (?=\p{L})").search if pattern == PATTERN else None
         self.find_latin = re.compile(_LATIN).findall if pattern == PATTERN else self.find
         self.suffixes = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
@@ -117,13 +124,14 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.flat, self.used, self.held = np.zeros(1 << 16, np.int32), 0, 0
         self.start, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         encoder = self
 
         class Known(dict):
             def __missing__(self, piece: str) -> int:
                 self[piece] = k = len(self)
+                encoder.held += len(piece)
                 encoder.learn(k, encoder.piece(piece.encode()))
                 return k
 
@@ -172,24 +180,48 @@ class Encoder:
     def encode(self, texts: list[str | None], latin: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin; latin: no character is above U+023F."""
         find = self.find_latin if latin else self.find
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES or self.held > CACHE_BYTES:
             self.forget()
         pieces: list[str] = []
-        first = np.zeros(len(texts) + 1, np.int64)
+        done: list[np.ndarray] = []
+        first, n = np.zeros(len(texts) + 1, np.int64), 0
         for i, text in enumerate(texts):
-            if text:
-                pieces += find(text)
-            first[i + 1] = len(pieces)
-        k = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        n = self.count[k]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[spread(self.start[k], n, ends)], ends[first]
+            for part in self.parts(text or ""):
+                got = find(part)
+                n += len(got)
+                pieces += got
+                if len(pieces) > 1 << 20:
+                    done.append(np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces)))
+                    pieces = []
+            first[i + 1] = n
+        k = np.concatenate([*done, np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))])
+        ids, ends = gathered(self.flat, self.start, self.count, k)
+        return ids, ends[first]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text, a long one in parts that end between two words."""
+        at = 0
+        while self.between and len(text) - at > PART and (m := self.between(text, at + PART)):
+            yield text[at : m.start()]
+            at = m.start()
+        if at < len(text):
+            yield text[at:] if at else text
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and where each id's bytes begin."""
-        n = self.token_length[ids]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return self.token_bytes[spread(self.token_start[ids], n, ends)], ends
+        return gathered(self.token_bytes, self.token_start, self.token_length, ids)
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray, which: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The parts ``flat[start[w] : start[w] + count[w]]`` of all w one after another, and where each begins; a block of them at a time."""
+    ends = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(count[which], out=ends[1:])
+    out = np.empty(ends[-1], flat.dtype)
+    for lo in range(0, len(which), block):
+        part = which[lo : lo + block]
+        own = ends[lo : lo + len(part) + 1] - ends[lo]
+        out[ends[lo] : ends[lo + len(part)]] = flat[spread(start[part], count[part], own)]
+    return out, ends
 
 
 def spread(start: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -202,16 +234,17 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 def _encoder(shared: Any) -> Encoder:
     """This worker's encoder for a broadcast vocabulary."""
-    path, pattern, tokens, left, right, merges = shared.value
-    if (path, pattern) not in _ENCODERS:
+    mark, pattern, tokens, left, right, merges = shared.value
+    if (mark, pattern) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, pattern] = Encoder(tokens, left, right, merges, pattern)
-    return _ENCODERS[path, pattern]
+        _ENCODERS[mark, pattern] = Encoder(tokens, left, right, merges, pattern)
+    return _ENCODERS[mark, pattern]
 
 
 def _shared(df: DataFrame, path: str, pattern: str) -> Any:
     tokens = load(path)
-    return df.sparkSession.sparkContext.broadcast((path, pattern, tokens, *splits(tokens)))
+    mark = hashlib.sha256(b"".join(len(t).to_bytes(4, "big") + t for t in tokens)).hexdigest()
+    return df.sparkSession.sparkContext.broadcast((mark, pattern, tokens, *splits(tokens)))
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

@@ -339,8 +339,9 @@ def replace_column(column: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
     """The column with pseudonyms, and how many in each row."""
     counts = np.zeros(len(column), np.int64)
     rows, new = [], []
-    for lo, _, buf, offsets in ts.slices(column):
-        hits = np.concatenate([[0], np.cumsum(_MAY[buf], dtype=np.int64)])[offsets]
+    for lo, hi, buf, offsets in ts.slices(column):
+        # a slice of one text may be long
+        hits = np.concatenate([[0], np.cumsum(_MAY[buf], dtype=np.int32)])[offsets] if hi - lo > 1 else np.array([0, any(_MAY[buf[at : at + ts.PIECE]].any() for at in range(0, len(buf), ts.PIECE))])
         for i in np.flatnonzero(np.diff(hits)) + lo:
             text, n = replace(column[i].as_py(), key)
             if n:

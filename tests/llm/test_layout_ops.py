@@ -73,6 +73,17 @@ def check_packed(packed, sizes, capacity):
     return bins
 
 
+def test_words_of_long_texts_are_counted_by_pieces(monkeypatch):
+    import pyarrow as pa
+    from corvid.llm import textscan as ts
+
+    texts = [data.prose(1, 40), " two  words ", "", "x" * 90, data.prose(2, 30).replace(" ", "\t ")]
+    for piece in (7, 50):
+        monkeypatch.setattr(ts, "PIECE", piece)
+        for t in texts:
+            assert packing.word_counts(pa.array([t])).tolist() == [len(t.split())]
+
+
 def test_packing_over_a_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sizes = [(r["doc_id"], len(r["text"].split())) for r in df.collect()]

@@ -113,6 +113,17 @@ def test_bpe_long_pieces_are_exact(reference, encoder, piece):
     assert encoder.piece(piece.encode()) == reference.encode_ordinary(piece)
 
 
+def test_long_texts_are_encoded_by_parts(reference, encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 50)
+    text = data.prose(5, 60) + "  it's  " + "x" * 300 + "\n\n12 345 " + data.prose(6, 20, "de")
+    assert len(list(encoder.parts(text))) > 20 and "".join(encoder.parts(text)) == text
+    ids, first = encoder.encode([text, None, text], latin=True)
+    assert ids[: first[1]].tolist() == reference.encode_ordinary(text) == ids[first[2] :].tolist()
+    assert encoder.decode(ids[: first[1]])[0].tobytes().decode() == text
+    parts = bpe.gathered(np.arange(50), np.array([3, 10, 40]), np.array([2, 0, 5]), np.array([2, 0, 1, 0]), 2)
+    assert parts[0].tolist() == [40, 41, 42, 43, 44, 3, 4, 3, 4] and parts[1].tolist() == [0, 5, 7, 7, 9]
+
+
 def test_bpe_over_a_table(spark, reference):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = bpe.encode(df).join(df.select("doc_id", "text"), "doc_id").collect()
