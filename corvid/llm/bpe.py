@@ -43,11 +43,11 @@ _LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}
 #: UTF-8 of U+0240 and above has a byte of at least this.
 _BEYOND_LATIN = 0xC9
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE_PIECES = 400_000
-CACHE_BYTES = 32 << 20
+CACHE_PIECES = 100_000
+CACHE_BYTES = 8 << 20
 #: Characters of a text that are split at a time.
 PART = 4 << 20
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 200_000
 
 
 def load(path: str = VOCABULARY) -> list[bytes]:
