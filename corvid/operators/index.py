@@ -7,11 +7,11 @@ measured at the build: sample rows as queries against all of the sample, the lea
 that reaches the wanted recall with a margin.  The number of cells grows with the square
 root of the store.
 
-Cells meet queries by an equi-join on the cell; a task computes one cell's block of rows
-against its queries as a matrix product.  A cell of more than ``BLOCK_ROWS`` rows is
-several blocks, and more than ``BLOCK_QUERIES`` queries of it are several parts, so no
-task holds a hot cell.  Filters come before the comparison, so a
-filtered search loses nothing to rows that don't match.
+Rows go through the tasks in the order of their cells, as in exact search, and each cell
+meets those of a task's queries that have it among their nearest.  A task compares
+``BLOCK_ROWS`` rows at a time and has ``BLOCK_QUERIES`` queries or about so many, so none
+holds a hot cell, and a query's vector isn't sent once a cell.  Filters come before the
+comparison, so a filtered search loses nothing to rows that don't match.
 
 Vectors are compared by cosine.  Null and zero vectors are stored but never found; a null
 query has no answer; an empty store gives no rows.
@@ -26,17 +26,17 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.functions import filters
-from corvid.operators.retrieval import _best, upsert
+from corvid.operators.retrieval import QUERY_BYTES, nearest_rows, upsert
 from corvid.storage import cut
 
 SAMPLE = 20_000
-#: Rows and queries of a cell that one task compares.
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 14, 1 << 12
+#: Rows that a task compares at a time, and queries that it has.
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 12, 1 << 15
 RECALL = 0.95
 
 
@@ -64,7 +64,7 @@ def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, q
     """The least number of nearest cells that hold that share of the true nearest k, over the sample."""
     x = _unit(sample)
     asked = x[: min(queries, len(x))]
-    own = (x @ centres.T).argmax(axis=1)
+    own = np.concatenate([(x[lo : lo + 4096] @ centres.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
     rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
     true = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
     depth = np.take_along_axis(rank, own[true], axis=1).ravel()
@@ -117,38 +117,8 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int = 5, min_score: float | None = None, above: float | None = 0.0, where: filters.Condition | filters.Group | Mapping[str, Any] | None = None, probes: int | None = None) -> DataFrame:
         """``query_id, rank, id, score`` as :func:`corvid.operators.retrieval.search` gives, from the nearest cells."""
         nearest = min(probes or self.probes, len(self.centres))
-        shared = queries.sparkSession.sparkContext.broadcast(self.centres)
-        asked = queries.where("qvec is not null").select("query_id", F.col("qvec").cast("array<double>").alias("qvec"))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column("qvec").flatten().to_numpy().reshape(batch.num_rows, -1)
-                cells = np.argsort(-(x @ shared.value.T), axis=1)[:, :nearest].astype(np.int32)
-                row = pa.array(np.repeat(np.arange(batch.num_rows), nearest))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *(c.take(row) for c in batch.columns)], ["cell", "query_id", "qvec"])
-
-        probed = asked.mapInArrow(near, T.StructType([T.StructField("cell", T.IntegerType()), *asked.schema]))
-        rows = filters.apply_filter(self.table, where).where("embedding is not null").select("cell", "id", F.col("embedding").cast("array<double>").alias("v"))
-        # a cell is as many blocks as its rows need, and its queries are as many parts; there is a row a cell
-        blocks = F.broadcast(self.table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))
-        dealt = rows.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.struct("id", "v").alias("r")).groupBy("cell", "block").agg(F.collect_list("r").alias("rows"))
-        parts = F.broadcast(probed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("parts")))
-        groups = probed.join(parts, "cell").select("cell", F.pmod(F.xxhash64("query_id"), "parts").alias("part"), F.struct("query_id", "qvec").alias("q")).groupBy("cell", "part").agg(F.collect_list("q").alias("asks"))
-        pairs = groups.join(dealt, "cell").select("asks", "rows")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    a, r = batch.column("asks")[i].values, batch.column("rows")[i].values
-                    q, v = (x.flatten().to_numpy().reshape(len(x), -1) for x in (a.field("qvec"), r.field("v")))
-                    row, place, value = _best("cosine", a.field("query_id"), q, r.field("id"), v, k, min_score, above)
-                    yield pa.RecordBatch.from_arrays([a.field("query_id").take(pa.array(row)), r.field("id").take(pa.array(place)), pa.array(value)], ["query_id", "id", "score"])
-
-        schema = T.StructType([*queries.select("query_id").schema, *self.table.select("id").schema]).add("score", "double")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return pairs.mapInArrow(compare, schema).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        rows = filters.apply_filter(self.table, where).where("embedding is not null").select("cell", "id", F.col("embedding").alias("v"))
+        return nearest_rows(rows, queries, k, "cosine", min_score, above, BLOCK_ROWS, QUERY_BYTES, BLOCK_QUERIES, self.centres, nearest)
 
     def compared(self, queries: DataFrame) -> float:
         """Share of all pairs of a query and a row that a search of these queries compares."""
@@ -169,5 +139,5 @@ def build(store: DataFrame, k: int = 10, cells: int | None = None, recall: float
     cells = min(len(x), cells or max(1, int(2 * np.sqrt(n))))
     centres = fit_centres(x, cells)
     index = CellIndex(store, centres, probes_for(x, centres, k, recall))
-    index.table = cut(index._assigned(store), "cells")
+    index.table = cut(index._assigned(store).sortWithinPartitions("cell"), "cells")
     return index
