@@ -10,6 +10,52 @@ from pyspark.sql import functions as F
 from corvid.operators import index, retrieval
 
 
+def brute(metric, q, v, ids, k, above=None):
+    got, out = np.round(retrieval.scores(metric, q, v), 12), {}
+    for i in range(len(q)):
+        order = [j for j in np.lexsort((ids, -got[i])) if above is None or got[i, j] > above][:k]
+        out[i] = [(ids[j], round(float(got[i, j]), 6)) for j in order]
+    return {i: x for i, x in out.items() if x}
+
+
+def by_query(rows):
+    out = {}
+    for query, id_, score in rows:
+        out.setdefault(query, []).append((id_, round(score, 6)))
+    return {q: sorted(x, key=lambda y: (-y[1], y[0])) for q, x in out.items()}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean", "rbf", "manhattan"])
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 30.0, 1e25])
+def test_best_is_that_of_all_pairs(metric, scale):
+    """Copies, near copies, zeros and numbers that single precision can't hold, in small parts."""
+    if metric == "dot" and scale > 1:
+        pytest.skip("products so large round by more than 12 places")
+    r = np.random.RandomState(3)
+    v = r.randn(600, 16) * scale
+    v[100:200], v[5], v[300:400] = v[0], 0, v[200:300] * (1 + 1e-9)
+    q, ids = np.vstack([v[:30], r.randn(10, 16) * scale, np.zeros((1, 16)), v[300:305]]), r.permutation(600)
+    for above in (None, 0.0):
+        best = retrieval.Best(metric, q, 4, None, above, 64)
+        for lo in range(0, 600, 150):
+            best.add(pa.array(ids[lo : lo + 150]), v[lo : lo + 150])
+        rows = best.rows(pa.array(np.arange(len(q))))
+        want = brute(metric, q, v, ids, 4, above)
+        assert by_query(zip(*(c.to_pylist() for c in rows.columns)) if rows else []) == {i: sorted(x, key=lambda y: (-y[1], y[0])) for i, x in want.items()}
+
+
+def test_distances_are_computed_for_a_few_pairs_only(monkeypatch):
+    """Nothing computes all differences of a block of queries and a block of vectors."""
+    seen = []
+    each = retrieval._each
+    monkeypatch.setattr(retrieval, "_each", lambda m, q, v: seen.append(len(q)) or each(m, q, v))
+    monkeypatch.setattr(retrieval, "scores", None)
+    x = np.random.RandomState(0).randn(6000, 32).astype(np.float32)
+    best = retrieval.Best("euclidean", x[:300], 5, None, 0.0, 1000)
+    best.add(pa.array(np.arange(6000)), x)
+    assert best.rows(pa.array(np.arange(300))).num_rows == 1500 and sum(seen) < 300 * 6000 / 20
+
+
 @pytest.fixture
 def words(spark):
     r = np.random.RandomState(7)
