@@ -56,6 +56,17 @@ def test_distances_are_computed_for_a_few_pairs_only(monkeypatch):
     assert best.rows(pa.array(np.arange(300))).num_rows == 1500 and sum(seen) < 300 * 6000 / 20
 
 
+def test_a_task_keeps_few_pairs_a_query():
+    """Every part is better than the one before, so each pair is among the best when it comes."""
+    q, most = np.ones((200, 2)), 0
+    best = retrieval.Best("dot", q, 50, None, None, 500)
+    for n in range(60):
+        best.add(pa.array(np.arange(n * 500, n * 500 + 500)), np.arange(n * 500, n * 500 + 500, dtype=float)[:, None] * np.ones((1, 2)))
+        most = max(most, best.n)
+    assert most <= max(4 * 50 * 200, 1 << 16) + 500 * 200
+    assert set(best.rows(pa.array(np.arange(200))).column(1).to_pylist()) == set(range(60 * 500 - 50, 60 * 500))
+
+
 @pytest.fixture
 def words(spark):
     r = np.random.RandomState(7)
@@ -66,6 +77,26 @@ def words(spark):
     return df, v, names
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_groups_of_queries_and_parts_of_the_store_lose_nothing(spark, words, monkeypatch, metric):
+    df, v, names = words
+    monkeypatch.setattr(retrieval, "GROUP_BYTES", 1 << 13)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:60])] + [(99, None)], "query_id long, qvec array<float>")
+    found = retrieval.search(df, q, 5, metric, query_bytes=0, where={"label": [0, 1]})
+    assert "collect_list" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+    kept = [i for i in range(300) if i % 3 < 2]
+    want = brute(metric, v[:60].astype(float), v[kept].astype(float), np.array(names)[kept], 5, 0.0)
+    assert by_query((r["query_id"], r["id"], r["score"]) for r in found.collect()) == {i: sorted(x, key=lambda y: (-y[1], y[0])) for i, x in want.items()}
+
+
+def test_queries_with_many_best_are_not_held(spark, words):
+    """What a task keeps counts as well as the queries' numbers."""
+    df, v, _ = words
+    q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"))
+    plan = lambda k: retrieval.search(df, q, k, query_bytes=1 << 16)._jdf.queryExecution().toString()
+    assert "task" not in plan(1) and "task" in plan(100)
+
+
 def test_the_index_gathers_no_cell_and_sends_a_query_once_a_part(spark, words, monkeypatch):
     """A row of a task is a vector, never a list of a cell's rows or queries; all cells give exact search, in groups as held."""
     df, _, _ = words
