@@ -52,14 +52,16 @@ def in_order(rank: str, *columns: str) -> Column:
     return F.sort_array(F.collect_list(F.struct(rank, *columns)))
 
 
-def contexts(hits: DataFrame, template: str | None = METADATA_TEMPLATE, fields: Sequence[str] = ("source", "date")) -> DataFrame:
-    """``query_id, context, n_docs`` from ``query_id, rank, content`` and the metadata columns."""
+def contexts(hits: DataFrame, template: str | None = METADATA_TEMPLATE, fields: Sequence[str] = ("source", "date"), scores: bool = False) -> DataFrame:
+    """``query_id, context, n_docs`` and with scores ``avg_score`` from ``query_id, rank, content``, the metadata columns and ``score``."""
     text = F.col("content")
     if template is not None:
         meta = fill_template(template, {k: F.col(k) for k in fields if k in hits.columns})
         text = F.when(meta != "", F.concat(meta, F.lit("\n\n"), text)).otherwise(text)
-    rows = hits.select("query_id", "rank", text.alias("part")).groupBy("query_id").agg(in_order("rank", "part").alias("r"))
-    return rows.select("query_id", F.array_join(F.transform("r", lambda x: x["part"]), "\n\n").alias("context"), F.size("r").cast("long").alias("n_docs"))
+    own = ["score"] if scores else []
+    mean = [F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score")] if scores else []
+    rows = hits.select("query_id", "rank", *own, text.alias("part")).groupBy("query_id").agg(in_order("rank", "part").alias("r"), *mean)
+    return rows.select("query_id", F.array_join(F.transform("r", lambda x: x["part"]), "\n\n").alias("context"), F.size("r").cast("long").alias("n_docs"), *(["avg_score"] if scores else []))
 
 
 def prompt(context: Column, question: Column, template: str = PROMPT, history: Column | None = None) -> Column:

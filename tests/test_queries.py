@@ -42,3 +42,8 @@ def test_content_aware_chunks_are_the_text(spark, sf_dir):
 def test_breaker_trace_has_every_user(spark, sf_dir):
     got = queries.QUERIES["breaker_trace"](spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+
+
+def test_questions_are_searched_once(spark, sf_dir):
+    plan = queries.QUERIES["ask_end_to_end"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow run") == 1
