@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -313,29 +314,57 @@ def semantic(units: DataFrame, key: str, order: str, content: str, embedding: st
     )
 
 
+def _hashed_bounds(threshold: float) -> Callable[[Column], Column]:
+    """Places of the units of a list whose cosine with the one before, by hashed tokens, is under the threshold; null if there are none."""
+    from corvid.operators import embedding
+
+    at_once = 1 << 13
+
+    def run(lists: pa.Array) -> pa.Array:
+        buckets, lists = embedding.buckets(64), pa.concat_arrays([lists])
+        sizes = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
+        ends = np.cumsum(sizes)
+        units, starts = lists.flatten(), np.repeat(ends - sizes, sizes)
+        near, last = np.zeros(len(units)), None
+        for lo in range(0, len(units), at_once):
+            x = embedding.hashed(units.slice(lo, at_once).to_pylist(), buckets)
+            x = x.astype(np.float32).astype(np.float64) if last is None else np.vstack([last, x.astype(np.float32)])
+            size = np.linalg.norm(x, axis=1)
+            both = size[1:] * size[:-1]
+            cosine = np.divide(np.einsum("ij,ij->i", x[1:], x[:-1]), both, out=np.zeros(len(both)), where=both > 0)
+            first = lo + (last is None)
+            near[first : first + len(cosine)] = cosine
+            last = x[-1:]
+        bound = np.flatnonzero((near < threshold) & (np.arange(len(units)) > starts))
+        own = np.searchsorted(ends, bound, side="right")
+        count = np.bincount(own, minlength=len(lists))
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        places = pa.array((bound - starts[bound]).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(offsets), places, mask=pa.array(count == 0))
+
+    return F.arrow_udf(run, "array<int>")
+
+
 def semantic_documents(docs: DataFrame, c: Chunking = Chunking(), embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Paragraphs of a document joined while neighbours are similar, from the text itself.
 
     Paragraphs are what lies between blank lines; they are embedded (``embed`` adds
-    ``embedding`` to rows with ``content``; without one, tokens are hashed), and a chunk
-    ends where the cosine of two neighbours is under the threshold.  A chunk longer than
+    ``embedding`` to rows with ``content``; without one, tokens are hashed, a document at
+    a time and without a shuffle), and a chunk ends where the cosine of two neighbours is
+    under the threshold.  A chunk longer than
     the window is cut into windows.  A document of one paragraph, or without a bound, is
     cut into windows as a whole.
     """
     extra = ["metadata"] if "metadata" in docs.columns else []
     texts = docs.where("content is not null").select("id", *extra, "content").withColumn("__units", F.filter(F.transform(F.split("content", "\n\n"), lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != ""))
-    several = texts.where(F.size("__units") > 1)
-    units = several.select("id", F.posexplode("__units").alias("place", "content"))
     if embed is None:
-        from corvid.operators import embedding
-
-        vectors = embedding.embed(units, embedding.HashingEmbedder(64), 64)
+        joined = texts.withColumn("__bounds", _hashed_bounds(c.threshold)(F.col("__units")))
     else:
-        vectors = embed(units)
-    w = Window.partitionBy("id").orderBy("place")
-    near = V.cosine(F.lag("embedding").over(w), F.col("embedding"))
-    bounds = vectors.withColumn("near", near).where(F.col("near") < c.threshold).groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("__bounds"))
-    joined = texts.join(bounds, "id", "left")
+        vectors = embed(texts.where(F.size("__units") > 1).select("id", F.posexplode("__units").alias("place", "content")))
+        w = Window.partitionBy("id").orderBy("place")
+        near = V.cosine(F.lag("embedding").over(w), F.col("embedding"))
+        bounds = vectors.withColumn("near", near).where(F.col("near") < c.threshold).groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("__bounds"))
+        joined = texts.join(bounds, "id", "left")
     begins = F.concat(F.array(F.lit(0)), F.col("__bounds"))
     groups = F.transform(begins, lambda b, i: F.array_join(F.slice("__units", b + 1, F.coalesce(F.get("__bounds", i), F.size("__units")) - b), "\n\n"))
     cut = F.flatten(F.transform(groups, lambda g: F.when(F.length(g) > c.window, windows(g, c.window, c.window)).otherwise(F.array(g))))

@@ -41,6 +41,21 @@ def _counts(text: str, buckets: _Buckets) -> np.ndarray:
     return np.bincount([buckets[t] for t in _TOKEN(text)], minlength=buckets.dim)
 
 
+def buckets(dim: int) -> dict[str, int]:
+    """Bucket of any token, each computed once while the table lasts."""
+    return _Buckets(dim)
+
+
+def hashed(texts: list[str], table: _Buckets) -> np.ndarray:
+    """Unit vectors of the texts' token counts, all counted together; zeros without a token."""
+    found = [_TOKEN((t or "").lower()) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    at = np.fromiter((table[t] for f in found for t in f), np.int64, len(row))
+    counts = np.bincount(row * table.dim + at, minlength=len(texts) * table.dim).reshape(len(texts), table.dim).astype(np.float64)
+    size = np.linalg.norm(counts, axis=1, keepdims=True)
+    return counts / np.where(size > 0, size, 1.0)
+
+
 def hashing_vectors(texts: DataFrame, key: str, content: str, dim: int = 64) -> DataFrame:
     """``key, bucket, weight``: token counts by bucket, of unit length together; a map, without a shuffle."""
 

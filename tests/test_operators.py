@@ -524,3 +524,14 @@ def test_breaker():
     for ok in (False, True, False):
         c.record(ok)
     assert c.state == "open"
+
+
+def test_semantic_chunks_need_no_shuffle_and_are_those_of_embedded_paragraphs(spark):
+    """The cosines of a document's own paragraphs are computed where it is; every batch begins anew with each document."""
+    cats, ships = "cats purr and sleep " * 9, "ships sail the sea " * 9
+    texts = ["\n\n".join(x) for x in ([cats, cats, ships], [cats], [], ["...", "!", cats], ["ÄÖ " + ships, ships.upper(), "", "  ", cats], [cats] * 40 + [ships] * 40, ["x", ships, "x"] * 30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)] + [(99, None)], "id long, content string").coalesce(1)
+    own = chunking.chunk(df, "semantic", chunking.Chunking(window=300))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    by_rows = chunking.chunk(df, "semantic", chunking.Chunking(window=300), embed=lambda u: embedding.embed(u, embedding.HashingEmbedder(64), 64))
+    assert sorted(map(str, own.collect())) == sorted(map(str, by_rows.collect())) and own.count() > 100
