@@ -535,3 +535,11 @@ def test_semantic_chunks_need_no_shuffle_and_are_those_of_embedded_paragraphs(sp
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
     by_rows = chunking.chunk(df, "semantic", chunking.Chunking(window=300), embed=lambda u: embedding.embed(u, embedding.HashingEmbedder(64), 64))
     assert sorted(map(str, own.collect())) == sorted(map(str, by_rows.collect())) and own.count() > 100
+
+
+def test_ensemble_joins_nothing_and_adds_no_candidates(spark):
+    """A pair that only a reranker has is none; one without a score of any keeps 0."""
+    df = lambda rows: spark.createDataFrame(rows, "query_id long, id long, score double")
+    got = rerank.ensemble(df([(1, 1, 0.9), (1, 2, 0.8)]), [(df([(1, 1, 0.6), (1, 7, 0.9)]), 2.0), (df([(2, 1, 0.9)]), 1.0)])
+    assert [(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in got.orderBy("rank").collect()] == [(1, 1, 0.4, 1), (1, 2, 0.0, 2)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
