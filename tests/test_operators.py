@@ -543,3 +543,11 @@ def test_ensemble_joins_nothing_and_adds_no_candidates(spark):
     got = rerank.ensemble(df([(1, 1, 0.9), (1, 2, 0.8)]), [(df([(1, 1, 0.6), (1, 7, 0.9)]), 2.0), (df([(2, 1, 0.9)]), 1.0)])
     assert [(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in got.orderBy("rank").collect()] == [(1, 1, 0.4, 1), (1, 2, 0.0, 2)]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mmr_moves_vectors_in_their_own_type(spark):
+    df = spark.createDataFrame([(1, i, 0.9 - i / 10, [1.0, i / 3]) for i in range(4)], "query_id long, id long, score double, embedding array<float>")
+    got = rerank.mmr(df, 3, 0.5)
+    assert "as array<double>" not in got._jdf.queryExecution().optimizedPlan().toString()
+    same = rerank.mmr(df.withColumn("embedding", F.col("embedding").cast("array<double>")), 3, 0.5)
+    assert got.collect() == same.collect() and got.count() == 3
