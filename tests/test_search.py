@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -67,6 +69,32 @@ def test_a_task_keeps_few_pairs_a_query():
     assert set(best.rows(pa.array(np.arange(200))).column(1).to_pylist()) == set(range(60 * 500 - 50, 60 * 500))
 
 
+def test_a_slice_of_the_queries_is_merged_at_a_time(monkeypatch):
+    """What is sorted at once doesn't grow with a task's queries; the best are those of all pairs."""
+    sizes, pc = [], retrieval.pc
+    monkeypatch.setattr(retrieval, "pc", SimpleNamespace(array_sort_indices=lambda x, **o: sizes.append(len(x)) or pc.array_sort_indices(x, **o)))
+    best = retrieval.Best("dot", np.ones((8000, 2)), 20, None, None, 100)
+    for n in range(10):
+        best.add(pa.array(np.arange(n * 100, n * 100 + 100)), np.arange(n * 100, n * 100 + 100, dtype=float)[:, None] * np.ones((1, 2)))
+    rows = best.rows(pa.array(np.arange(8000)))
+    assert max(sizes) <= 4 * 20 * 2048 + 512 * 100
+    assert rows.num_rows == 8000 * 20 and set(rows.column(1).to_pylist()) == set(range(980, 1000))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_some_rows_of_several_slices(monkeypatch, metric):
+    monkeypatch.setattr(retrieval, "SLICE", 7)
+    r = np.random.RandomState(5)
+    v, ids, some = r.randn(400, 8), r.permutation(400), np.array([0, 6, 7, 20, 33, 34, 48])
+    v[90:120] = v[3]
+    best = retrieval.Best(metric, v[:50], 4, None, 0.0, 64)
+    for lo in range(0, 400, 100):
+        best.add(pa.array(ids[lo : lo + 100]), v[lo : lo + 100], some)
+    want = brute(metric, v[some], v, ids, 4, 0.0)
+    got = by_query(zip(*(c.to_pylist() for c in best.rows(pa.array(np.arange(50))).columns)))
+    assert got == {int(some[i]): sorted(x, key=lambda y: (-y[1], y[0])) for i, x in want.items()}
+
+
 @pytest.fixture
 def words(spark):
     r = np.random.RandomState(7)
