@@ -81,6 +81,27 @@ def test_a_slice_of_the_queries_is_merged_at_a_time(monkeypatch):
     assert rows.num_rows == 8000 * 20 and set(rows.column(1).to_pylist()) == set(range(980, 1000))
 
 
+def test_pairs_are_looked_up_only_where_they_are_few(monkeypatch):
+    """Half of the first pairs are above 0: the k-th product of a part tells which of them count before any is looked up."""
+    seen, places = [], retrieval._places
+    monkeypatch.setattr(retrieval, "_places", lambda m: seen.append(int(np.count_nonzero(m))) or places(m))
+    x = np.random.RandomState(1).randn(4000, 32)
+    best = retrieval.Best("cosine", x[:1000], 5, None, 0.0, 1000)
+    best.add(pa.array(np.arange(4000)), x)
+    want = brute("cosine", x[:1000], x, np.arange(4000), 5, 0.0)
+    assert max(seen) <= 4 * 5 * 512
+    got = by_query(zip(*(c.to_pylist() for c in best.rows(pa.array(np.arange(1000))).columns)))
+    assert got == {i: sorted(y, key=lambda z: (-z[1], z[0])) for i, y in want.items()}
+
+
+def test_the_last_round_of_tasks_is_nearly_full():
+    """Groups are never fewer than their memory asks for; less than a part's tasks are missing in the last round."""
+    for slots in (1, 2, 4, 8, 12, 48):
+        for least in range(1, 120):
+            groups, parts = retrieval._dealt(least, slots)
+            assert groups >= least and groups * parts >= 2 * slots - parts and -(groups * parts) % slots < parts
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
 def test_some_rows_of_several_slices(monkeypatch, metric):
     monkeypatch.setattr(retrieval, "SLICE", 7)
